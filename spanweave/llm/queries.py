@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import line_dedup, mixing, packing, quality, simhash, token_output
+from spanweave.llm import line_dedup, mixing, packing, quality, simhash, token_output, toxicity
 from spanweave.llm.common import row_columns, whole_text
 from spanweave.session import load
 
@@ -61,5 +61,10 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_line_dedup, op4_quality_rules, op5_simhash, op6_best_fit)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, load(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_line_dedup, op4_quality_rules, op5_simhash, op6_best_fit, op7_toxicity)}
 ORACLE_SQL = {"op3_line_dedup": OP3_SQL}
