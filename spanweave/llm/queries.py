@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import line_dedup, mixing, packing, pseudonyms, quality, simhash, token_output, toxicity
+from spanweave.llm import line_dedup, mixing, packing, pseudonyms, quality, simhash, sketches, token_output, toxicity
 from spanweave.llm.common import row_columns, whole_text
 from spanweave.session import load
 
@@ -66,6 +66,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, load(spark, sf_dir, "labels")))
 
 
+def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sketches.compare_edited(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text with pseudonyms, and how many values of each kind were replaced."""
     docs = row_columns(load(spark, sf_dir, "documents"), "doc_id", "text")
@@ -73,5 +78,5 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", *[F.col("__sw_found")[k].alias(f"n_{k}") for k in pseudonyms.KINDS])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_line_dedup, op4_quality_rules, op5_simhash, op6_best_fit, op7_toxicity, op9_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_line_dedup, op4_quality_rules, op5_simhash, op6_best_fit, op7_toxicity, op8_sketches, op9_pseudonyms)}
 ORACLE_SQL = {"op3_line_dedup": OP3_SQL}
