@@ -23,6 +23,7 @@ def build_session(app: str = "spanweave", master: str = "local[*]", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     for key, value in {**defaults, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
