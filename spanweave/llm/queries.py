@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import line_dedup, mixing, packing, pseudonyms, quality, simhash, sketches, token_output, toxicity
+from spanweave.llm import line_dedup, mixing, packing, pseudonyms, quality, simhash, sketches, suffixes, token_output, toxicity
 from spanweave.llm.common import row_columns, whole_text
 from spanweave.session import load
 
@@ -78,5 +78,11 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", *[F.col("__sw_found")[k].alias(f"n_{k}") for k in pseudonyms.KINDS])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_line_dedup, op4_quality_rules, op5_simhash, op6_best_fit, op7_toxicity, op8_sketches, op9_pseudonyms)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(load(spark, sf_dir, "documents"))
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_line_dedup, op4_quality_rules, op5_simhash, op6_best_fit, op7_toxicity, op8_sketches, op9_pseudonyms, op10_suffix_dedup)}
 ORACLE_SQL = {"op3_line_dedup": OP3_SQL}

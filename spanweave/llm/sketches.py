@@ -7,7 +7,7 @@ sketches of one size subtract cell by cell: what both have vanishes. A cell with
 it away; taking it out of its other cells frees more, until nothing is left: the digests that differ,
 with the side they are on. Where cells stay full, the sketch was too small, and a larger one is tried.
 
-Versions are compared in buckets of about 16 digests, dealt by their high bits, so work and memory per
+Versions are compared in buckets of about 12 digests, dealt by their high bits, so work and memory per
 bucket stay small and a whole text costs in proportion to its length; only a bucket that fails is
 sketched again, larger. One that no size frees (digests with equal places in all tables) is compared
 as plain sets. The likeness is the share of the united paragraphs that both have, 1 where both have none.
@@ -26,7 +26,7 @@ from spanweave.llm.common import row_columns, whole_text
 #: Cells in each of the three tables, at the first try and later ones.
 SIZES = (8, 16, 64)
 #: Digests of both versions together that share a bucket.
-BUCKET = 16
+BUCKET = 12
 _ROUNDS = 12
 _ENDS = r"[.!?]+[ \t]+|[ \t]*[\n\r]+"
 _LEAST = -(1 << 63)
