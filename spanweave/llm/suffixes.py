@@ -55,7 +55,7 @@ class Layout:
     length: int = 50
     k: int = 16
     second_k: int = 32
-    crowded: int = 4096
+    crowded: int = 50_000
     shards: int = 1
     block_bytes: int = 1 << 20
 
@@ -158,7 +158,9 @@ def seed_blobs(rows: list[tuple[int, bytes]], lay: Layout) -> Iterator[tuple[int
     raw, ends = _laid([r[1] for r in rows])
     first, _, key = runs(raw, ends, lay.length, lay.k)
     # a text counts once; texts are in the order of their shards
-    each = np.unique(key << np.uint64(16) | np.searchsorted(ends, first, "right").astype(np.uint64))
+    each = key << np.uint64(16) | np.searchsorted(ends, first, "right").astype(np.uint64)
+    each.sort()
+    each = each[np.append(True, each[1:] != each[:-1])[: len(each)]]
     key, where = each >> np.uint64(16), home[(each & np.uint64(0xFFFF)).astype(np.int64)]
     head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (where[1:] != where[:-1]))[: len(key)])
     docs = np.minimum(np.diff(head, append=len(key)), 65_535).astype(np.uint16)
@@ -223,25 +225,21 @@ def cut(ids: np.ndarray, texts: list[bytes], known: list[bytes], lay: Layout) ->
     kind = np.where(hit, 1 + many[at], 0) if len(seed) else np.zeros(len(key), np.int64)
     plain, dense = kind == 1, kind == 2
     f, s, k = first[plain], size[plain], key[plain]
-    if dense.any():  # the windows of crowded seeds, by a second seed
-        ours = np.zeros(len(raw) + 1, np.int64)
-        np.add.at(ours, first[dense], 1)
-        np.add.at(ours, first[dense] + size[dense], -1)
-        ours = np.cumsum(ours)[:-1] > 0
-        f2, s2, k2 = runs(raw, ends, lay.length, lay.second_k)
-        # a run is cut where windows of crowded seeds begin or end
-        edge = np.flatnonzero(np.diff(ours, prepend=False))
-        every = np.unique(np.concatenate([f2, edge[np.isin(edge, f2, invert=True)]]))
-        own = np.searchsorted(f2, every, "right") - 1
-        stop = np.minimum(np.append(every[1:], len(raw)), f2[own] + s2[own])
-        keep = ours[np.minimum(every, len(raw) - 1)] & (stop > every) & (own >= 0)
-        f, s, k = np.concatenate([f, every[keep]]), np.concatenate([s, (stop - every)[keep]]), np.concatenate([k, k2[own[keep]]])
-        order = np.argsort(f, kind="stable")
+    if dense.any():  # the stretches of windows with crowded seeds, by a second seed
+        begin, stop = first[dense], first[dense] + size[dense]
+        new = np.append(True, begin[1:] != stop[:-1])
+        begin, stop = begin[new], stop[np.append(new[1:], True)]
+        wide = stop - begin + lay.length - 1
+        ends2 = np.cumsum(wide)
+        f2, s2, k2 = runs(raw[_spread(begin, wide)], ends2, lay.length, lay.second_k)
+        own = np.searchsorted(ends2, f2, "right")
+        f, s, k = np.concatenate([f, f2 + (begin - (ends2 - wide))[own]]), np.concatenate([s, s2]), np.concatenate([k, k2])
+        order = np.argsort(f)
         f, s, k = f[order], s[order], k[order]
     text, seen = raw.tobytes(), {}
     piece = np.fromiter((seen.setdefault(text[a:b], len(seen)) for a, b in zip(f.tolist(), (f + s + lay.length - 1).tolist())), np.int64, len(f))
     doc = ids[np.searchsorted(ends, f, "right")] if len(f) else np.empty(0, np.int64)
-    _, lead = np.unique(piece, return_index=True)  # its first run, in the smallest doc_id
+    lead = np.flatnonzero(np.append(True, piece[1:] > np.maximum.accumulate(piece)[:-1])[: len(piece)])  # its first run, in the smallest doc_id
     order = np.argsort(k[lead], kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -272,7 +270,7 @@ class Block:
         order = self._sorted(n)
         windows = lens - length + 1
         self.windows = windows
-        self.places = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+        self.places = _spread(starts, windows)
         owner = np.zeros(n, np.int64)
         owner[self.places] = np.repeat(owners, windows)
         group = np.cumsum(self._common(order, starts, lens) < length)  # a new one where other bytes begin
@@ -289,7 +287,7 @@ class Block:
 
     def _sorted(self, n: int) -> np.ndarray:
         """Larsson-Sadakane: all places by the bytes from there on, by doubling, groups still equal only."""
-        order = np.argsort(self.words[:n], kind="stable")
+        order = np.argsort(self.words[:n])
         w = self.words[order]
         head = np.append(True, w[1:] != w[:-1])
         rank = np.full(n + 1, -1, np.int64)  # the end comes first
@@ -298,7 +296,7 @@ class Block:
         while (slots := np.flatnonzero(~(head & np.append(head[1:], True)))).size:
             places = order[slots]
             key = rank[places] * (n + 1) + rank[np.minimum(places + h, n)] + 1
-            turn = np.argsort(key, kind="stable")
+            turn = np.argsort(key)
             places, key = places[turn], key[turn]
             order[slots] = places
             new = np.append(True, key[1:] != key[:-1])
@@ -381,53 +379,54 @@ def least_owners(blobs: list[tuple[int, bytes]], lay: Layout) -> Iterator[tuple[
 
     Blob: a run's stretches, and of each stretch its windows and owner.
     """
-    texts: list[bytes] = []
-    owners: list[int] = []
-    keys: list[int] = []
     seen: dict[bytes, int] = {}
-    sent: list[tuple[int, list[int]]] = []
-    for home, blob in blobs:
-        step, size, owner, data = unpack(blob, "<u8", "u1", "<i8")
+    got = [unpack(blob, "<u8", "u1", "<i8") for _, blob in blobs]
+    mine: list[np.ndarray] = []
+    for _, size, _, data in got:
         ends = np.cumsum(size.astype(np.int64) + lay.length - 1)
-        mine = []
-        for a, b, o, k in zip((ends - size - lay.length + 1).tolist(), ends.tolist(), owner.tolist(), _sums(step).tolist()):
-            at = seen.setdefault(text := data[a:b], len(texts))
-            if at == len(texts):
-                texts.append(text)
-                owners.append(o)
-                keys.append(k)
-            elif o < owners[at]:
-                owners[at] = o
-            mine.append(at)
-        sent.append((home, mine))
-    least: list[tuple[list[int], list[int]]] = [([len(t) - lay.length + 1], [o]) for t, o in zip(texts, owners)]
-    key = np.array(keys, np.uint64)
-    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times[back] > 1)  # a run alone with its seed is settled
-    shared = shared[np.argsort(key[shared], kind="stable")].tolist()
-    blocks: list[tuple[list[int], Block]] = []
-    for a, b in _blocks([len(texts[i]) for i in shared], lay.block_bytes):
-        own = shared[a:b]
-        block = Block([texts[i] for i in own], np.array([owners[i] for i in own], np.int64), lay.length)
+        begins = np.append(0, ends[:-1])
+        mine.append(np.fromiter((seen.setdefault(data[a:b], len(seen)) for a, b in zip(begins.tolist(), ends.tolist())), np.int64, len(ends)))
+    texts, every = list(seen), np.concatenate(mine)
+    owner, key, windows = np.full(len(texts), _LAST), np.empty(len(texts), np.uint64), np.empty(len(texts), np.int64)
+    np.minimum.at(owner, every, np.concatenate([g[2] for g in got]))
+    key[every] = np.concatenate([_sums(g[0]) for g in got])
+    windows[every] = np.concatenate([g[1] for g in got])
+    # stretches of each run: at first all its windows with its own owner
+    number, run, width, value = np.ones(len(texts), np.int64), [np.arange(len(texts))], [windows], [owner]
+    order = np.argsort(key, kind="stable")
+    alike = key[order][1:] == key[order][:-1]
+    shared = order[np.append(alike, False) | np.append(False, alike)]  # a run alone with its seed is settled
+    blocks: list[tuple[np.ndarray, Block]] = []
+    for a, b in _blocks((windows[shared] + lay.length - 1).tolist(), lay.block_bytes):
+        block = Block([texts[i] for i in shared[a:b].tolist()], owner[shared[a:b]], lay.length)
         for _, earlier in blocks:
             x, y = earlier.find(block)
             both = np.minimum(earlier.least[x], block.least[y])
             earlier.least[x] = block.least[y] = both
-        blocks.append((own, block))
+        blocks.append((shared[a:b], block))
+    number[shared] = 0
     for own, block in blocks:
-        value = block.least[block.group[block.places]]
-        run = np.repeat(np.arange(len(own)), block.windows)
-        head = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (run[1:] != run[:-1]))[: len(value)])
-        width, cuts = np.diff(head, append=len(value)).tolist(), np.searchsorted(run[head], np.arange(len(own) + 1)).tolist()
-        value = value[head].tolist()
-        for i, a, b in zip(own, cuts, cuts[1:]):
-            least[i] = (width[a:b], value[a:b])
-    for home, mine in sent:
-        parts = [least[i] for i in mine]
-        n = np.array([len(w) for w, _ in parts], np.uint8)
-        width = np.array([x for w, _ in parts for x in w], np.uint8)
-        owner = np.array([x for _, o in parts for x in o], np.int64)
-        yield home, pack(n), pack(width, owner)
+        least = block.least[block.group[block.places]]
+        of = np.repeat(np.arange(len(own)), block.windows)
+        head = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (of[1:] != of[:-1])))
+        number[own] = np.bincount(of[head], minlength=len(own))
+        run.append(own[of[head]])
+        width.append(np.diff(head, append=len(least)))
+        value.append(least[head])
+    settled = number > 0
+    settled[shared] = False
+    run[0], width[0], value[0] = run[0][settled], windows[settled], owner[settled]
+    run, width, value = map(np.concatenate, (run, width, value))
+    order = np.argsort(run, kind="stable")
+    width, value, top = width[order].astype(np.uint8), value[order], np.cumsum(number) - number
+    for (home, _), at in zip(blobs, mine):
+        slot = _spread(top[at], number[at])
+        yield home, pack(number[at].astype(np.uint8)), pack(width[slot], value[slot])
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all stretches (begin, size), laid end to end."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 def kept_bytes(c: Cut, least: dict[int, tuple[bytes, bytes]], lay: Layout) -> np.ndarray:
@@ -443,7 +442,7 @@ def kept_bytes(c: Cut, least: dict[int, tuple[bytes, bytes]], lay: Layout) -> np
     n, width, owner = map(np.concatenate, (counts, widths, owners))
     top = np.cumsum(n) - n
     times = n[c.piece]
-    slot = np.repeat(top[c.piece], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    slot = _spread(top[c.piece], times)
     w = width[slot]
     run_first = np.cumsum(w) - w
     at = np.repeat(c.first - run_first[np.cumsum(times) - times], times) + run_first
@@ -467,7 +466,7 @@ def _blob_table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOBS)] if rows else [pa.array([], f.type) for f in _BLOBS], schema=_BLOBS)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 8 << 20, block_bytes: int = 1 << 20, crowded: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 8 << 20, block_bytes: int = 1 << 20, crowded: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay, joined), and the removed runs' starts and ends.
 
     ``shard_bytes``: text in a shard of documents; as many shards hold the seeds.
