@@ -17,7 +17,9 @@ import numpy as np
 #: Words that one generation of the cache may hold.
 GENERATION = 600_000
 _SPACE = re.compile(r"\s|[\x1c-\x1f\x85]")
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Latin letters in UTF-8: A-Z, a-z and U+00C0 to U+00FF but for the two signs among them.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(24)]
 
 
 def _shown() -> dict[int, int]:
@@ -53,7 +55,7 @@ class Encoder:
         self.young: list[dict[bytes, bytes | None]] = [{}, {}]
         self.old: list[dict[bytes, bytes | None]] = [{}, {}]
         self.newline, *marks = self._ids(["\n", ".", ","])
-        self.marks = dict(zip(".,", marks))
+        self.marks = dict(zip((b".", b","), marks))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,14 +65,24 @@ class Encoder:
         young, old = self.young[kind], self.old[kind]
         if len(young) > GENERATION:
             self.young[kind], self.old[kind] = young, old = {}, young
-        rest = []
-        for w in words - young.keys():
+        rest, stems, marked = [], [], []
+        for w in words:
+            if w in young:
+                continue
             if (v := old.get(w)) is not None:
                 young[w] = v
-            elif m := _PLAIN.fullmatch(w.decode("utf-8", "surrogatepass")):
-                young[w] = self._plain(kind, young, *m.groups())
-            else:
+                continue
+            stem = w[:-1] if w[-1:] in self.marks else w
+            if not stem.isalpha() and not _LATIN.fullmatch(stem):
                 rest.append(w)
+            elif stem is w:
+                stems.append(w)
+            else:
+                marked.append((w, stem))
+        self._plain(kind, young, stems)
+        self._plain(kind, young, [s for s in {stem for _, stem in marked} if s not in young])
+        for w, stem in marked:
+            young[w] = young[stem] + self.marks[w[-1:]]
         texts = [w.decode("utf-8", "surrogatepass") for w in rest]
         if self.spaced and any(map(_SPACE.search, texts)):
             odd = [bool(_SPACE.search(t)) for t in texts]
@@ -80,21 +92,18 @@ class Encoder:
             front = " " if self.spaced and kind == 0 else ""
             young.update(zip(rest, self._ids([front + t for t in texts])))
 
-    def _plain(self, kind: int, young: dict, stem: str, mark: str) -> bytes:
-        """Latin letters and at most one mark after them: the vocabulary's merges alone decide."""
-        if mark:
-            key = stem.encode()
-            found = young.get(key) or self.old[kind].get(key)
-            if found is None:
-                found = young[key] = self._plain(kind, young, stem, "")
-            return found + self.marks[mark]
-        if self.spaced:
-            piece = stem.encode().decode("latin-1").translate(_SHOWN)
-            piece = "\u0120" + piece if kind == 0 else piece
-        else:
-            piece = stem.lower().encode().decode("latin-1").translate(_SHOWN)
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _plain(self, kind: int, young: dict, stems: list[bytes]) -> None:
+        """Latin letters alone: the vocabulary's merges decide, without its other stages."""
+        merge = self.tokenizer.model.tokenize
+        front = "\u0120" if self.spaced and kind == 0 else ""
+        for stem in stems:
+            if not self.spaced:
+                stem, key = stem.decode().lower().encode(), stem
+            else:
+                key = stem
+            piece = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(_SHOWN)
+            ids = [t.id for t in merge(front + piece)]
+            young[key] = _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null counts as empty."""

@@ -2,7 +2,8 @@
 
 Two dictionaries are trained, one on toxic and one on ordinary text. A window is a word in a fixed
 frame that both dictionaries know, so that a block is large enough for zstandard to compress and only
-the word makes a difference. A window is a hit where the toxic dictionary leaves few bytes of it, and
+the word makes a difference. Windows without six bytes in a row of the toxic dictionary are not tried:
+it cannot shorten them. A window is a hit where the toxic dictionary leaves few bytes of it, and
 saves so many more than the ordinary one; both bounds are calibrated. A document scores by its hits and
 their share through a logistic curve, shifted so that the best F1 of the fitted rows lies at 0.7.
 
@@ -39,6 +40,8 @@ from spanweave.llm.common import batches, row_columns
 _MARKS = b".,!*#$%&|?;:\"()[]{}<>~=_"
 #: Lengths in bytes of a window's beginning, the blank included.
 _BEGINNINGS = (5, 6, 7, 8, 10)
+#: So many bytes in a row a window has in common with the toxic dictionary, or it is not tried.
+_SHARED = 6
 #: Windows whose lengths a worker keeps.
 _KEPT = 400_000
 #: The frame before and after a word; zstandard looks for no matches in a block's last eight bytes.
@@ -130,10 +133,23 @@ class Lengths:
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.toxic, self.ordinary = _compressor(ordinary + toxic), _compressor(ordinary)
+        self.pieces = {toxic[k : k + _SHARED] for k in range(len(toxic) - _SHARED + 1)}
         self.young: dict[bytes, tuple[int, int]] = {}
         self.old: dict[bytes, tuple[int, int]] = {}
 
+    def tried(self, word: bytes) -> bool:
+        """Whether the toxic dictionary has a long enough piece of the window to shorten it."""
+        w, pieces = b" " + word + b" ", self.pieces
+        for k in range(len(w) - _SHARED + 1):
+            if w[k : k + _SHARED] in pieces:
+                return True
+        return False
+
     def of(self, word: bytes) -> tuple[int, int]:
+        """A window that is not tried keeps its length under both."""
+        if not self.tried(word):
+            n = len(word) + len(_FRAME) + len(_TAIL) + 2
+            return n, n
         found = self.young.get(word)
         if found is None:
             found = self.old.get(word)
@@ -157,9 +173,15 @@ class Hits:
         known = self.known
         if len(known) > _KEPT:
             known.clear()
-        for w in set(words) - known.keys():
-            toxic, ordinary = self.lengths.of(w)
-            known[w] = ordinary - toxic >= self.model.gain and toxic <= self.model.left
+        gain, left, tried = self.model.gain, self.model.left, self.lengths.tried
+        for w in set(words):
+            if w in known:
+                continue
+            if tried(w):
+                toxic, ordinary = self.lengths.of(w)
+                known[w] = ordinary - toxic >= gain and toxic <= left
+            else:
+                known[w] = False
         return sum(map(known.__getitem__, words))
 
 
