@@ -34,7 +34,22 @@ _LOADED: dict[str, "Encoder"] = {}
 
 
 class _Odd(Exception):
-    """A word with white space other than a blank or line feed."""
+    """A word that needs its surroundings: white space other than a blank or line feed."""
+
+
+class _Words(dict):
+    """Ids by word; a word met for the first time is taken from the older words or made."""
+
+    def __init__(self, make, old: dict[bytes, bytes]):
+        super().__init__()
+        self.make, self.old = make, old
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -51,94 +66,58 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         probe = self.tokenizer.encode("a a", add_special_tokens=False).ids
         self.spaced = probe[0] != probe[-1]
+        self._merge = self.tokenizer.model.tokenize
         #: By kind of word: after a blank, first in its line.
-        self.young: list[dict[bytes, bytes | None]] = [{}, {}]
-        self.old: list[dict[bytes, bytes | None]] = [{}, {}]
+        self.young = [_Words(self._after_blank, {}), _Words(self._first, {})]
         self.newline, *marks = self._ids(["\n", ".", ","])
         self.marks = dict(zip((b".", b","), marks))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, kind: int, words: set[bytes]) -> None:
-        """Puts all of ``words`` into the young generation."""
-        young, old = self.young[kind], self.old[kind]
-        if len(young) > GENERATION:
-            self.young[kind], self.old[kind] = young, old = {}, young
-        rest, stems, marked = [], [], []
-        for w in words:
-            if w in young:
-                continue
-            if (v := old.get(w)) is not None:
-                young[w] = v
-                continue
-            stem = w[:-1] if w[-1:] in self.marks else w
-            if not stem.isalpha() and not _LATIN.fullmatch(stem):
-                rest.append(w)
-            elif stem is w:
-                stems.append(w)
-            else:
-                marked.append((w, stem))
-        self._plain(kind, young, stems)
-        self._plain(kind, young, [s for s in {stem for _, stem in marked} if s not in young])
-        for w, stem in marked:
-            young[w] = young[stem] + self.marks[w[-1:]]
-        texts = [w.decode("utf-8", "surrogatepass") for w in rest]
-        if self.spaced and any(map(_SPACE.search, texts)):
-            odd = [bool(_SPACE.search(t)) for t in texts]
-            young.update((w, None) for w, o in zip(rest, odd) if o)
-            texts, rest = [t for t, o in zip(texts, odd) if not o], [w for w, o in zip(rest, odd) if not o]
-        if rest:
-            front = " " if self.spaced and kind == 0 else ""
-            young.update(zip(rest, self._ids([front + t for t in texts])))
-
-    def _plain(self, kind: int, young: dict, stems: list[bytes]) -> None:
-        """Latin letters alone: the vocabulary's merges decide, without its other stages."""
-        merge = self.tokenizer.model.tokenize
-        front = "\u0120" if self.spaced and kind == 0 else ""
-        for stem in stems:
+    def _after_blank(self, word: bytes) -> bytes:
+        return self._make(self.young[0], word, self.spaced)
+
+    def _first(self, word: bytes) -> bytes:
+        return self._make(self.young[1], word, False)
+
+    def _make(self, words: _Words, word: bytes, blank: bool) -> bytes:
+        """A word's ids. Of Latin letters alone the vocabulary's merges decide, without its other stages."""
+        mark = word[-1:]
+        stem = word[:-1] if mark in self.marks else word
+        if stem.isalpha() or _LATIN.fullmatch(stem):
+            if stem is not word:
+                return words[stem] + self.marks[mark]
             if not self.spaced:
-                stem, key = stem.decode().lower().encode(), stem
-            else:
-                key = stem
+                stem = stem.decode().lower().encode()
             piece = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(_SHOWN)
-            ids = [t.id for t in merge(front + piece)]
-            young[key] = _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
+            ids = [t.id for t in self._merge("\u0120" + piece if blank else piece)]
+            return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
+        text = word.decode("utf-8", "surrogatepass")
+        if self.spaced and (not text or _SPACE.search(text)):
+            raise _Odd
+        return self._ids([" " + text if blank else text])[0]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null counts as empty."""
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for t in texts:  # words of a few MB are looked up together
-            group.append(t or "")
-            size += len(group[-1])
-            if size > 8_000_000:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        if not self.spaced:
-            words = [r.split() for r in raw]
-            self._learn(0, set().union(*words))
-            get = self.young[0].__getitem__
-            return [b"".join(map(get, ws)) for ws in words]
-        split = [[line.split(b" ") for line in r.split(b"\n")] for r in raw]
-        whole = [any(b"" in ws for ws in lines) for lines in split]
-        self._learn(1, {ws[0] for lines, w in zip(split, whole) if not w for ws in lines})
-        self._learn(0, set().union(*(ws[1:] for lines, w in zip(split, whole) if not w for ws in lines)))
-        first, get, out = self.young[1], self.young[0].__getitem__, []
-        for t, lines, w in zip(texts, split, whole):
-            if not w:
-                try:
-                    out.append(self.newline.join([first[ws[0]] + b"".join(map(get, ws[1:])) for ws in lines]))
-                    continue
-                except TypeError:  # a word that needs its surroundings
-                    pass
-            out.append(self._ids([t])[0])
-        return out
+        for kind, make in enumerate((self._after_blank, self._first)):
+            if len(self.young[kind]) > GENERATION:
+                self.young[kind] = _Words(make, dict(self.young[kind]))
+        one = self._spaced if self.spaced else self._parted
+        return [one(t or "") for t in texts]
+
+    def _parted(self, text: str) -> bytes:
+        return b"".join(map(self.young[0].__getitem__, text.encode("utf-8", "surrogatepass").split()))
+
+    def _spaced(self, text: str) -> bytes:
+        first, get, lines = self.young[1], self.young[0].__getitem__, []
+        try:
+            for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+                words = iter(line.split(b" "))
+                lines.append(first[next(words)] + b"".join(map(get, words)))
+        except _Odd:
+            return self._ids([text])[0]
+        return self.newline.join(lines)
 
 
 def encoder(path: str) -> Encoder:
