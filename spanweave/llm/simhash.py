@@ -121,9 +121,10 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, cell_rows: int = 8192) ->
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, cell_rows: int = 8192) -> DataFrame:
-    """A row a document: doc_id, th, fp, and component_id, the smallest doc_id that links lead to.
+    """A row a document: doc_id, th, fp, component_id, the smallest doc_id that links lead to, and component.
 
-    A null doc_id takes part in links, but names a component only where it has no other document.
+    A null doc_id takes part in links; component_id is null where all of a component's documents have
+    a null doc_id. ``component``, the component's smallest fingerprint, is never null and its own.
     """
     rows = materialize(fingerprints(docs, shingle, seed), "simhash")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-simhash")
@@ -131,7 +132,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     parts = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "fp"), "simhash-parts")
     named = fps.join(parts, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(least, "component").select("fp", "component_id"), "fp")
+    return rows.join(named.join(least, "component").select("fp", "component_id", "component"), "fp")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -140,7 +141,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     All columns are kept; of repeated equal rows one stays.
     """
     found = near_duplicates(docs, **options)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("th").alias("h"))).alias("best"))
+    best = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("th").alias("h"))).alias("best"))
     stay = best.select(F.col("best.d").alias("__sw_d"), F.col("best.h").alias("__sw_h"))
     keyed = docs.withColumns({"__sw_d": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__sw_h": text_key(F.col("text"))})
     kept = keyed.join(stay, ["__sw_d", "__sw_h"], "left_semi").dropDuplicates(["__sw_d", "__sw_h"])

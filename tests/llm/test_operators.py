@@ -173,6 +173,17 @@ def test_simhash_components(docs, rows, empty, cell_rows):
     assert simhash.near_duplicates(empty).collect() == []
 
 
+def test_keep_one_keeps_unrelated_rows_without_ids(spark):
+    rng = random.Random(8)
+    make = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    texts = [make() for _ in range(6)]
+    rows = [(None, t, "s") for t in texts] + [(None, texts[0], "s"), (9, texts[1], "s")]
+    rows += [(5, make(), "s"), (5, make(), "s")]  # one id, two unrelated texts
+    got = simhash.keep_one(table(spark, rows)).collect()
+    want = [(None, t) for k, t in enumerate(texts) if k != 1] + [(9, texts[1]), (5, rows[-2][1]), (5, rows[-1][1])]
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in want)
+
+
 def test_tiles_equal_all_pairs():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 1 << 63, 60, dtype=np.int64)
