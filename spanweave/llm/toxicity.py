@@ -2,8 +2,8 @@
 
 Two dictionaries are trained, one on toxic and one on ordinary text. A window is a word in a fixed
 frame that both dictionaries know, so that a block is large enough for zstandard to compress and only
-the word makes a difference. Windows without six bytes in a row of the toxic dictionary are not tried:
-it cannot shorten them. A window is a hit where the toxic dictionary leaves few bytes of it, and
+the word makes a difference. Windows without four bytes in a row of the toxic dictionary, the shortest
+match that zstandard uses, are not tried: it has no match for them. A window is a hit where the toxic dictionary leaves few bytes of it, and
 saves so many more than the ordinary one; both bounds are calibrated. A document scores by its hits and
 their share through a logistic curve, shifted so that the best F1 of the fitted rows lies at 0.7.
 
@@ -40,12 +40,14 @@ from spanweave.llm.common import batches, row_columns
 _MARKS = b".,!*#$%&|?;:\"()[]{}<>~=_"
 #: Lengths in bytes of a window's beginning, the blank included.
 _BEGINNINGS = (5, 6, 7, 8, 10)
-#: So many bytes in a row a window has in common with the toxic dictionary, or it is not tried.
-_SHARED = 6
+#: The shortest match of the compressors; a window with no such piece of the toxic dictionary is not tried.
+_SHARED = 4
 #: Windows whose lengths a worker keeps.
 _KEPT = 400_000
 #: The frame before and after a word; zstandard looks for no matches in a block's last eight bytes.
 _FRAME, _TAIL = bytes(range(1, 17)), bytes(range(17, 32))
+#: What a match can take in on both sides of a word.
+_EDGES = _FRAME[1 - _SHARED :] + b" ", b" " + _TAIL[: _SHARED - 1]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -120,7 +122,7 @@ class Model:
 
 def _compressor(content: bytes):
     tuned = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
+        window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=_SHARED, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     ready = zstandard.ZstdCompressionDict(_FRAME + _TAIL + content + _FRAME + _TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -133,13 +135,14 @@ class Lengths:
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.toxic, self.ordinary = _compressor(ordinary + toxic), _compressor(ordinary)
-        self.pieces = {toxic[k : k + _SHARED] for k in range(len(toxic) - _SHARED + 1)}
+        near = (_TAIL + ordinary)[1 - _SHARED :] + toxic + _FRAME[: _SHARED - 1]  # matches may begin before it or end after it
+        self.pieces = {near[k : k + _SHARED] for k in range(len(near) - _SHARED + 1)}
         self.young: dict[bytes, tuple[int, int]] = {}
         self.old: dict[bytes, tuple[int, int]] = {}
 
     def tried(self, word: bytes) -> bool:
-        """Whether the toxic dictionary has a long enough piece of the window to shorten it."""
-        w, pieces = b" " + word + b" ", self.pieces
+        """Whether the toxic dictionary has a long enough piece of the window, with the frame beside it, for a match."""
+        w, pieces = _EDGES[0] + word + _EDGES[1], self.pieces
         for k in range(len(w) - _SHARED + 1):
             if w[k : k + _SHARED] in pieces:
                 return True

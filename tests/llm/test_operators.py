@@ -251,6 +251,22 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.learn(empty, spark.createDataFrame([], "doc_id long, toxic int")).toxic == b""
 
 
+def test_toxicity_verdicts_equal_those_without_a_filter():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))).encode()
+    ordinary = b" " + b" ".join(word() for _ in range(4000)) + b" "
+    toxic = b" kys scum grubblex "
+    lengths = toxicity.Lengths(toxic, ordinary)
+    pack = [toxicity._compressor(c) for c in (ordinary + toxic, ordinary)]
+    gain = lambda w: len(pack[1](toxicity._FRAME + b" " + w + b" " + toxicity._TAIL)) - len(pack[0](toxicity._FRAME + b" " + w + b" " + toxicity._TAIL))
+    words = [b"kys", b"scum", b"scums", b"scummy", b"grubblex", b"grubbles", b"abc", b"a", *(word() for _ in range(3000))]
+    assert gain(b"kys") > 0 and gain(b"scums") > 0
+    for g in range(1, 7):
+        hits = toxicity.Hits(toxicity.Model(toxic, ordinary, g))
+        assert [hits.count([w]) for w in words] == [int(gain(w) >= g) for w in words]
+        assert [lengths.of(w)[1] - lengths.of(w)[0] >= g for w in words] == [gain(w) >= g for w in words]
+
+
 def test_sketches_equal_set_likeness(docs, rows, empty):
     paras = lambda t: {p.strip(" ") for p in re.split(r"[.!?]+[ \t]+|[ \t]*[\n\r]+", t)} - {""}
     near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
