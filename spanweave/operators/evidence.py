@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.functions.text import jaccard, normalise, tokens
+from spanweave.functions.text import normalise, tokens
 from spanweave.operators.components import connected_components
 from spanweave.session import materialize
 
@@ -40,29 +41,53 @@ def compare(results: DataFrame, baseline: DataFrame) -> DataFrame:
     return both.select("id", "baseline", F.array_join(F.array_sort(apart), " ").alias("apart"), (F.col("value") - F.col("v")).alias("change"))
 
 
-def align(planned: DataFrame, actual: DataFrame, least: float = 0.5) -> DataFrame:
+def _greedy(table: pa.Table) -> pa.Table:
+    """The greedy matching of one plan's pairs."""
+    table = table.sort_by([("score", "descending"), ("i", "ascending"), ("j", "ascending")])
+    i, j, keep, used_i, used_j = table.column("i").to_pylist(), table.column("j").to_pylist(), [], set(), set()
+    for k, (x, y) in enumerate(zip(i, j)):
+        if x not in used_i and y not in used_j:
+            keep.append(k)
+            used_i.add(x)
+            used_j.add(y)
+    return table.take(pa.array(keep, pa.int64())).select(["plan", "i", "j"])
+
+
+def align(planned: DataFrame, actual: DataFrame, least: float = 0.5, at_once: int = 1_000_000) -> DataFrame:
     """One-to-one match of planned and actual steps within a plan: greedy by token overlap.
 
     Both: plan, nth, label. Returns plan, planned, actual, verdict (same, renamed, missing, extra) and
-    ``reordered``. Candidates come from shared tokens, not from all pairs; a pair is taken when it is the
-    best left of both its steps, in rounds, which gives the greedy matching.
+    ``reordered``. Candidates come from shared tokens, not from all pairs. Steps of equal tokens are
+    matched first, the k-th with the k-th. Of the rest, plans of at most ``at_once`` pairs are matched
+    in one task each; in larger ones a pair is taken when it is the best left of both its steps, in
+    rounds until the plan is small enough. All ways give the greedy matching by (score, i, j).
     """
-    p = planned.select("plan", F.col("nth").alias("i"), F.col("label").alias("a"), tokens(F.col("label")).alias("s"))
-    q = actual.select("plan", F.col("nth").alias("j"), F.col("label").alias("b"), tokens(F.col("label")).alias("t"))
-    words = lambda d, c, k: d.select("plan", k, F.explode(F.array_distinct(c)).alias("w"))
-    near = words(p, "s", "i").join(words(q, "t", "j"), ["plan", "w"]).select("plan", "i", "j").distinct()
-    scored = near.join(p, ["plan", "i"]).join(q, ["plan", "j"]).withColumn("score", jaccard(F.col("s"), F.col("t"))).where(F.col("score") >= least)
-    scored = scored.withColumn("rank", F.struct(-F.col("score"), F.col("i"), F.col("j"))).select("plan", "i", "j", "a", "b", "rank")
-    taken, left = None, materialize(scored, "align")
-    for _ in range(64):
+    p = planned.select("plan", F.col("nth").alias("i"), F.col("label").alias("a"))
+    q = actual.select("plan", F.col("nth").alias("j"), F.col("label").alias("b"))
+    held = lambda d, c, k: d.select("plan", k, F.array_sort(F.array_distinct(tokens(F.col(c)))).alias("s")).where(F.size("s") > 0)
+    s, t = materialize(held(p, "a", "i"), "align-planned"), materialize(held(q, "b", "j"), "align-actual")
+    taken = None
+    without = lambda d, got, k: d.join(got.select("plan", k), ["plan", k], "left_anti").select(d.columns)
+    if least <= 1:
+        nth = lambda d, k: d.withColumn("nth", F.row_number().over(Window.partitionBy("plan", "s").orderBy(k)))
+        taken = materialize(nth(s, "i").join(nth(t, "j"), ["plan", "s", "nth"]).select("plan", "i", "j"), "aligned")
+        s, t = without(s, taken, "i"), without(t, taken, "j")
+    words = lambda d, k, n: d.select("plan", k, F.size("s").alias(n), F.explode("s").alias("w"))
+    near = words(s, "i", "x").join(words(t, "j", "y"), ["plan", "w"]).groupBy("plan", "i", "j", "x", "y").agg(F.count("*").alias("c"))
+    scored = near.select("plan", "i", "j", (F.col("c") / (F.col("x") + F.col("y") - F.col("c"))).alias("score")).where(F.col("score") >= least)
+    left = materialize(scored, "align")
+    shape = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in ("plan", "i", "j"))
+    while not left.isEmpty():
+        large = left.groupBy("plan").count().where(F.col("count") > at_once).select("plan")
+        done = left.join(large, "plan", "left_anti").groupBy("plan").applyInArrow(_greedy, shape)
+        left = left.join(large, "plan", "left_semi").withColumn("rank", F.struct(-F.col("score"), F.col("i"), F.col("j")))
         best_i = left.groupBy("plan", "i").agg(F.min("rank").alias("ri"))
         best_j = left.groupBy("plan", "j").agg(F.min("rank").alias("rj"))
-        got = materialize(left.join(best_i, ["plan", "i"]).join(best_j, ["plan", "j"]).where("rank = ri AND rank = rj").select(left.columns), "aligned")
-        if got.isEmpty():
-            break
+        best = left.join(best_i, ["plan", "i"]).join(best_j, ["plan", "j"]).where("rank = ri AND rank = rj").select("plan", "i", "j")
+        got = materialize(done.unionByName(best), "aligned")
         taken = got if taken is None else taken.unionByName(got)
-        left = materialize(left.join(got.select("plan", "i"), ["plan", "i"], "left_anti").join(got.select("plan", "j"), ["plan", "j"], "left_anti").select(left.columns), "align")
-    pairs = (taken if taken is not None else scored.limit(0)).select("plan", "i", "j")
+        left = materialize(without(without(left.drop("rank"), got, "i"), got, "j"), "align")
+    pairs = taken if taken is not None else scored.select("plan", "i", "j")
     order = Window.partitionBy("plan").orderBy("i")
     pairs = pairs.withColumn("reordered", F.coalesce(F.col("j") < F.max("j").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
     full = p.join(pairs, ["plan", "i"], "full_outer").join(q, ["plan", "j"], "full_outer")

@@ -165,6 +165,18 @@ def test_align_matches_greedily(spark):
     assert got == {("mix the salt", "mix the sea salt", "renamed", False), ("heat the oven", "heat the oven", "same", True), ("weigh flour", None, "missing", False), (None, "sing", "extra", False)}
 
 
+@pytest.mark.parametrize("at_once", [1_000_000, 3000])
+def test_align_takes_all_pairs_of_ties(spark, at_once):
+    schema = "plan int, nth int, label string"
+    planned = [(1, k, "stir it") for k in range(70)] + [(2, k, f"mix salt p{k}") for k in range(70)]
+    actual = [(1, k, "Stir it") for k in range(75)] + [(2, k, f"mix salt q{k}") for k in range(68)]
+    got = evidence.align(spark.createDataFrame(planned, schema), spark.createDataFrame(actual, schema), at_once=at_once).collect()
+    count = lambda plan, v: sum(r.plan == plan and r.verdict == v for r in got)
+    assert (count(1, "same"), count(1, "extra"), count(1, "missing")) == (70, 5, 0)
+    assert (count(2, "renamed"), count(2, "missing"), count(2, "extra")) == (68, 2, 0)
+    assert all(r.planned[10:] == r.actual[10:] for r in got if r.verdict == "renamed")
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("F–score  of the  “Straße” isn’t", "x [a]\ny [b]", ["a"])], "t string, u string, k array<string>")
     got = df.select(fold(F.col("t")).alias("f"), normalise(F.col("t")).alias("n"), tokens(F.col("t")).alias("w"), keep_cited(F.col("u"), F.col("k")).alias("c")).first()
