@@ -408,7 +408,7 @@ def compare_baseline(spark, sf):
 
 @query()
 def align_steps(spark, sf):
-    c = load(spark, sf, "conversations").withColumn("label", F.substring("text", 1, 60))
+    c = load(spark, sf, "conversations").withColumn("label", F.col("text"))
     planned = c.where("role = 'user'").select(F.col("conv_id").alias("plan"), F.col("turn").alias("nth"), "label")
     actual = c.where("role = 'assistant'").select(F.col("conv_id").alias("plan"), F.col("turn").alias("nth"), "label")
     return evidence.align(planned, actual, 0.1)

@@ -12,6 +12,7 @@ from spanweave.operators import evidence, graph, log, rank, validate
 from spanweave.operators.mapping import NodeMap, map_nodes, unmapped
 from spanweave.plans import conjunctive, reason
 from spanweave.plans.ontology import Ontology
+from spanweave.queries import QUERIES
 from spanweave.sources.readers import cell_offsets, cut, ingest_table, ingest_text, read_log, render, triples, write_log
 from spanweave.streaming.log import follow_log, projected
 
@@ -177,6 +178,14 @@ def test_align_takes_all_pairs_of_ties(spark, at_once):
     assert all(r.planned[10:] == r.actual[10:] for r in got if r.verdict == "renamed")
 
 
+def test_align_steps_reads_whole_turns(spark, tmp_path):
+    head = "word " * 20
+    turns = [(1, 1, "user", head + "salt"), (1, 2, "assistant", head + "sugar"), (2, 1, "user", "x " * 40 + "salt and oil"), (2, 2, "assistant", "y " * 40 + "salt and oil")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    got = {r.plan: (r.planned, r.actual, r.verdict) for r in QUERIES["align_steps"](spark, f"file://{tmp_path}").collect()}
+    assert got == {1: (turns[0][3], turns[1][3], "renamed"), 2: (turns[2][3], turns[3][3], "renamed")}
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("F–score  of the  “Straße” isn’t", "x [a]\ny [b]", ["a"])], "t string, u string, k array<string>")
     got = df.select(fold(F.col("t")).alias("f"), normalise(F.col("t")).alias("n"), tokens(F.col("t")).alias("w"), keep_cited(F.col("u"), F.col("k")).alias("c")).first()
