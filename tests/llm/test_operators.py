@@ -293,12 +293,27 @@ def test_sketches_equal_set_likeness(docs, rows, empty):
     assert sketches.compare_edited(empty).collect() == []
 
 
-def test_sketch_fails_when_too_small_and_recovers_when_larger(spark):
-    df = spark.range(1).selectExpr("transform(sequence(1, 60), i -> xxhash64(i)) AS a", "transform(sequence(31, 90), i -> xxhash64(i)) AS b")
-    peeled = lambda s: sketches.peel(sketches.subtract(sketches.sketch("a", s), sketches.sketch("b", s)), s)
-    row = df.selectExpr(f"{peeled(8)} AS small", f"{peeled(64)} AS large", "array_except(a, b) AS x", "array_except(b, a) AS y").first()
-    assert row.small is None
-    assert {(d.k, d.n) for d in row.large} == {(k, 1) for k in row.x} | {(k, -1) for k in row.y}
+@pytest.mark.parametrize("a, b", [((1, 60), (31, 90)), ((1, 4000), (200, 4300)), ((1, 3000), (1, 5)), ((1, 0), (1, 700)), ((1, 0), (1, 0)), ((1, 50), (1, 50))])
+def test_fingerprints_subtract_and_larger_ones_follow(spark, a, b):
+    made = lambda x: f"array_sort(transform(filter(sequence(0, {x[1]}), i -> i >= {x[0]}), i -> xxhash64(i)))"
+    df = spark.range(1).selectExpr(f"{made(a)} AS a", f"{made(b)} AS b").selectExpr("*", f"{sketches.fingerprint('a')} AS x", f"{sketches.fingerprint('b')} AS y")
+    row = df.selectExpr(
+        f"{sketches.differing('a', 'b', 'x', 'y')} AS found", f"{sketches.subtracted('x', 'y')} AS stored", "array_except(a, b) AS l", "array_except(b, a) AS r", "x",
+        f"{sketches.from_text(sketches.as_text('x'))} AS again",
+    ).first()
+    assert sorted((d.k, d.n) for d in row.found) == sorted([(k, 1) for k in row.l] + [(k, -1) for k in row.r])
+    assert row.again == row.x
+    freed = {(d.k, d.n) for bucket in row.stored if bucket is not None for d in bucket}
+    assert freed <= {(d.k, d.n) for d in row.found}
+    if len(row.l) + len(row.r) < 12:
+        assert all(bucket is not None for bucket in row.stored)
+
+
+def test_sketches_of_a_very_long_text(spark):
+    text = ". ".join(f"sentence {k}" for k in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("sentence 5.", "other 5."))], "doc_id long, text string")
+    got = {r.doc_id: r for r in sketches.compare_edited(docs).select("doc_id", "near_next").collect()}
+    assert got[1].near_next == got[2].near_next == pytest.approx(59_999 / 60_001)
 
 
 def test_pseudonyms(spark, empty):
