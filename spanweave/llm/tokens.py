@@ -2,8 +2,9 @@
 
 The tokenizers library spends most of its time on words that it has met before. Both vocabularies
 split a text at certain white space before they merge anything, so a text's ids are its words' ids
-joined. A worker keeps encoded words (as little-endian 32-bit ids) in two generations of bounded
-dictionaries; texts whose white space does not allow the shortcut go to the library whole.
+joined. A worker keeps encoded words (as little-endian 32-bit ids) in two generations, each bounded
+in bytes; texts whose white space does not allow the shortcut go to the library whole. A worker
+outlives its tasks, so it holds the encoder of one file only, the last one asked for.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ import struct
 
 import numpy as np
 
-#: Words that one generation of the cache may hold.
-GENERATION = 600_000
+#: Bytes that one generation of the words of a kind may hold.
+GENERATION = 40 << 20
+#: Bytes of an entry besides its characters: two bytes objects' heads and its share of the table.
+_ENTRY = 2 * 33 + 110
+#: Longer words are not kept.
+_LONGEST = 1 << 10
 _SPACE = re.compile(r"\s|[\x1c-\x1f\x85]")
 #: Latin letters in UTF-8: A-Z, a-z and U+00C0 to U+00FF but for the two signs among them.
 _LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -42,15 +47,25 @@ class _Words(dict):
 
     def __init__(self, make, old: dict[bytes, bytes]):
         super().__init__()
-        self.make, self.old = make, old
+        self.make, self.old, self.held = make, old, 0
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             ids = self.make(word)
-        self[word] = ids
+        if len(word) <= _LONGEST:
+            self[word] = ids
+            self.held += _ENTRY + len(word) + len(ids)
+            if self.held >= GENERATION:
+                self._age()
         return ids
 
+    def _age(self) -> None:
+        """What is held becomes the older generation; the one before it goes."""
+        self.old = dict(self)
+        self.clear()
+        self.held = 0
+
 
 class Encoder:
     """Encodes whole texts to bytes of little-endian 32-bit ids, equal to the library's result.
@@ -100,9 +115,6 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null counts as empty."""
-        for kind, make in enumerate((self._after_blank, self._first)):
-            if len(self.young[kind]) > GENERATION:
-                self.young[kind] = _Words(make, dict(self.young[kind]))
         one = self._spaced if self.spaced else self._parted
         return [one(t or "") for t in texts]
 
@@ -121,7 +133,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a file; made once a process."""
+    """The worker's encoder of a file; another file's goes first."""
     if path not in _LOADED:
+        _LOADED.clear()
         _LOADED[path] = Encoder(path)
     return _LOADED[path]
