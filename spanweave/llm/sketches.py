@@ -10,8 +10,8 @@ Two stored fingerprints subtract: the one of more buckets is folded to the other
 neighbouring buckets cell by cell, then cells subtract, and what both have vanishes. A cell with one
 digest left gives it away; taking it out of its other cells frees more, until nothing is left: the
 digests that differ, with the side they are on. Where cells stay full the sketch was too small: that
-bucket is sketched again from its digests with twice the buckets, and again, until all are free. Two
-digests that differ part at the 64th doubling at the latest, so that this always ends. Work is in
+bucket's digests are dealt to twice the buckets, and again, until they are few enough to be sketched and
+peeled anew. Two digests that differ part at the 64th doubling at the latest, so that this always ends. Work is in
 proportion to the number of digests and the logarithm of the number of buckets. The likeness is the
 share of the united paragraphs that both have, 1 where both have none.
 
@@ -32,8 +32,8 @@ SIZE = 8
 #: Digests of one text that share a bucket on average, at most.
 BUCKET = 12
 _ROUNDS = 16
-#: More digests than this do not peel from a bucket's 24 cells.
-_MOST = 22
+#: Digests that peel from a bucket's 24 cells nearly always, and the empty cells below which there are too many.
+_FEW, _EMPTY = 18, 2
 _ENDS = r"[.!?]+[ \t]+|[ \t]*[\n\r]+"
 _LEAST = -(1 << 63)
 _PAIR = "struct<l:array<bigint>,r:array<bigint>>"
@@ -119,8 +119,9 @@ def peel(cells: str) -> str:
 
 def subtracted(left: str, right: str) -> str:
     """By bucket of the smaller of two fingerprints: the digests that differ, null where they do not peel."""
+    sparse = f"size(filter(z, c -> c.n = 0 AND c.k = 0)) >= {_EMPTY}"
     both = f"zip_with({fold(left, 'w')}, {fold(right, 'w')}, (u, v) -> {add('u', 'v', '-')})"
-    return _let(f"least(size({left}), size({right}))", "w", f"transform({both}, z -> {peel('z')})")
+    return _let(f"least(size({left}), size({right}))", "w", f"transform({both}, z -> CASE WHEN {sparse} THEN {peel('z')} END)")
 
 
 def differing(left: str, right: str, left_print: str, right_print: str) -> str:
@@ -130,9 +131,10 @@ def differing(left: str, right: str, left_print: str, right_print: str) -> str:
     failed = f"filter({pairs}, (p, i) -> got[i] IS NULL)"
     half = lambda bit: f"named_struct('l', {_half('p.l', 'j', bit)}, 'r', {_half('p.r', 'j', bit)})"
     tried = _let(sketch("p.l"), "u", _let(sketch("p.r"), "v", peel(add("u", "v", "-"))))
-    judged = f"named_struct('p', p, 'got', CASE WHEN abs(size(p.l) - size(p.r)) <= {_MOST} THEN {tried} END)"
+    judged = f"named_struct('p', p, 'got', CASE WHEN size(p.l) + size(p.r) <= {_FEW} THEN {tried} END)"
+    halves = f"filter(flatten(transform(s.todo, p -> array({half(0)}, {half(1)}))), p -> size(p.l) + size(p.r) > 0)"
     step = _let(
-        f"transform(flatten(transform(s.todo, p -> array({half(0)}, {half(1)}))), p -> {judged})",
+        f"transform({halves}, p -> {judged})",
         "t",
         "named_struct('todo', transform(filter(t, x -> x.got IS NULL), x -> x.p), 'out', concat(s.out, flatten(transform(filter(t, x -> x.got IS NOT NULL), x -> x.got))))",
     )
