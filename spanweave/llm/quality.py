@@ -11,7 +11,7 @@ smallest hashes of doc_id), a bound that does not grow with the data; statistics
 every document and whole texts. Inputs of a rule are statistics of the text alone.
 
 Null texts have no words and fail the base rules. Labels that are null or of documents that do not
-exist are ignored; without labels all but base failures stay. Repeated rows are judged alike.
+exist are ignored, and of two labels of a document the lower counts; without labels all but base failures stay. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def fit_rules(x: dict[str, np.ndarray], bad: np.ndarray, held: np.ndarray, most_
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, **options) -> list[Rule]:
     """Fits rules for documents labelled quality 0 that pass the base rules."""
-    picked = labels.select(F.col("doc_id").cast("long").alias("__sw_id"), F.col("quality").cast("int").alias("__sw_q")).dropna().dropDuplicates(["__sw_id"])
+    picked = labels.select(F.col("doc_id").cast("long").alias("__sw_id"), F.col("quality").cast("int").alias("__sw_q")).dropna().groupBy("__sw_id").agg(F.min("__sw_q").alias("__sw_q"))
     bounded = picked.orderBy(F.xxhash64("__sw_id"), "__sw_id").limit(sample_rows)
     few = docs.select(F.col("doc_id").cast("long").alias("__sw_id"), "text").join(F.broadcast(bounded), "__sw_id")  # at most sample_rows rows
     made = with_statistics(few).where(~base_failed())
