@@ -268,154 +268,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1500, sample_o
     return fit([r["text"] for r in got if r["toxic"]], [r["text"] for r in got if not r["toxic"]], **options)
 
 
-def score(self, hits: int, words: int) -> float:
-        if not self.toxic:
-            return 0.0
-        x = self.bias + sum(w * f for w, f in zip(self.weights, self.features(hits, words)))
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
-
-
-def _compressor(content: bytes):
-    tuned = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=_SHARED, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
-        write_content_size=False, write_checksum=False, write_dict_id=False,
-    )
-    ready = zstandard.ZstdCompressionDict(_FRAME + _TAIL + content + _FRAME + _TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    ready.precompute_compress(compression_params=tuned)
-    return zstandard.ZstdCompressor(dict_data=ready, compression_params=tuned).compress
-
-
-class Lengths:
-    """Of each window: bytes left by the toxic dictionary, bytes left by the ordinary one."""
-
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = _compressor(ordinary + toxic), _compressor(ordinary)
-        near = (_TAIL + ordinary)[1 - _SHARED :] + toxic + _FRAME[: _SHARED - 1]  # matches may begin before it or end after it
-        self.pieces = {near[k : k + _SHARED] for k in range(len(near) - _SHARED + 1)}
-        self.young: dict[bytes, tuple[int, int]] = {}
-        self.old: dict[bytes, tuple[int, int]] = {}
-
-    def tried(self, word: bytes) -> bool:
-        """Whether the toxic dictionary has a long enough piece of the window, with the frame beside it, for a match."""
-        w, pieces = _EDGES[0] + word + _EDGES[1], self.pieces
-        for k in range(len(w) - _SHARED + 1):
-            if w[k : k + _SHARED] in pieces:
-                return True
-        return False
-
-    def of(self, word: bytes) -> tuple[int, int]:
-        """A window that is not tried keeps its length under both."""
-        if not self.tried(word):
-            n = len(word) + len(_FRAME) + len(_TAIL) + 2
-            return n, n
-        found = self.young.get(word)
-        if found is None:
-            found = self.old.get(word)
-            if found is None:
-                window = _FRAME + b" " + word + b" " + _TAIL
-                found = len(self.toxic(window)), len(self.ordinary(window))
-            if len(self.young) > _KEPT:
-                self.young, self.old = {}, self.young
-            self.young[word] = found
-        return found
-
-
-class Hits:
-    """Whether a window is a hit; most words come again, so verdicts are kept."""
-
-    def __init__(self, model: Model):
-        self.model, self.lengths = model, Lengths(model.toxic, model.ordinary)
-        self.known: dict[bytes, bool] = {}
-
-    def count(self, words: list[bytes]) -> int:
-        known = self.known
-        if len(known) > _KEPT:
-            known.clear()
-        gain, left, tried = self.model.gain, self.model.left, self.lengths.tried
-        for w in set(words):
-            if w in known:
-                continue
-            if tried(w):
-                toxic, ordinary = self.lengths.of(w)
-                known[w] = ordinary - toxic >= gain and toxic <= left
-            else:
-                known[w] = False
-        return sum(map(known.__getitem__, words))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> np.ndarray:
-    """Newton's steps for a ridge logistic regression; the bias comes last."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def _best_cut(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(F1, cut): scores from the cut on as positive have the largest F1; the cut lies between scores."""
-    order = np.argsort(-score, kind="stable")
-    s, hit = score[order], np.cumsum(y[order])
-    ends = np.flatnonzero(np.append(s[1:] != s[:-1], True))
-    f1 = 2 * hit[ends] / (ends + 1 + y.sum())
-    k = int(np.argmax(f1))
-    below = s[ends[k] + 1] if ends[k] + 1 < len(s) else s[ends[k]] - 1
-    return float(f1[k]), float((s[ends[k]] + below) / 2)
-
-
-def fit(toxic: list[str | None], ordinary: list[str | None], least: int = 6, ratio: float = 6.0, z: float = 3.5, size: tuple[int, int] = (4_096, 32_768), cut_at: float = 0.7) -> Model:
-    """Trains both dictionaries and calibrates on the same rows."""
-    bad, good = [words_of(t) for t in toxic], [words_of(t) for t in ordinary]
-    telling = _telling(bad, good, least, ratio, z)
-    if not telling:
-        return Model(b"", b"")
-    mine, theirs = Counter(), Counter()
-    for words in bad:
-        mine.update(w for w in words if not telling.isdisjoint(_beginnings(w)))
-    for words in good:
-        theirs.update(w for w in words if telling.isdisjoint(_beginnings(w)))
-    framed = lambda counter, most: [b" " + w + b" " for w, n in sorted(counter.items(), key=lambda x: (x[1], x[0])) for _ in range(min(n, most))]
-    toxic_text, ordinary_text = _trained(framed(mine, 40), size[0]), _trained(framed(Counter(dict(theirs.most_common(30_000))), 8), size[1])
-    missing = [w for w, n in mine.most_common(200) if n >= least and w not in toxic_text]
-    toxic_text += b"".join(b" " + w for w in reversed(missing)) + b" "
-    for _ in range(3):
-        lengths = Lengths(toxic_text, ordinary_text)
-        chance = [w for w in theirs if (got := lengths.of(w))[1] - got[0] >= 3]
-        if len(chance) < 20:
-            break
-        ordinary_text += (b" " + b" ".join(sorted(chance, key=lambda w: (theirs[w], w))))[-size[1] // 4 :] + b" "
-    lengths = Lengths(toxic_text, ordinary_text)
-    each = [[lengths.of(w) for w in words] for words in bad + good]
-    y = np.array([1.0] * len(bad) + [0.0] * len(good))
-    pairs = [np.array(e, np.int64).reshape(-1, 2) for e in each]
-    floor = min((int(p[:, 0].min()) for p in pairs if len(p)), default=0)
-    best = (-1.0, Model(b"", b""))
-    for gain in range(1, 7):
-        for left in (floor + 3, floor + 5, floor + 8, floor + 64):
-            tried = Model(toxic_text, ordinary_text, gain, left)
-            x = np.array([tried.features(int(((p[:, 1] - p[:, 0] >= gain) & (p[:, 0] <= left)).sum()), len(p)) for p in pairs])
-            *w, bias = _logistic(x, y)
-            f1, cut = _best_cut(x @ np.array(w) + bias, y)
-            if f1 > best[0]:
-                shift = math.log(cut_at / (1 - cut_at)) - cut
-                best = (f1, Model(toxic_text, ordinary_text, gain, left, tuple(map(float, w)), float(bias + shift)))
-    return best[1]
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1500, sample_ordinary: int = 3000, **options) -> Model:
-    """Fits on labelled documents outside the held-out third, at most so many of each kind."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(~held_out(F.col("id"))).dropDuplicates(["id"])
-    order = [F.xxhash64("id"), F.col("id")]
-    few = marked.where("toxic = 1").orderBy(*order).limit(sample_toxic).union(marked.where("toxic = 0").orderBy(*order).limit(sample_ordinary))
-    rows = row_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(few), "id")  # at most both samples
-    got = sorted(rows.select("id", "toxic", "text").limit(2 * (sample_toxic + sample_ordinary)).collect(), key=lambda r: (r["id"], r["text"] or ""))
-    return fit([r["text"] for r in got if r["toxic"]], [r["text"] for r in got if not r["toxic"]], **options)
-
-
 def score(docs: DataFrame, model: Model, cut_at: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted for every document; one pass without a shuffle."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
