@@ -2,22 +2,59 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Dashes and quotes that count as their ASCII forms (fixed values).
-FOLDED = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "‘": "'", "’": "'", "“": '"', "”": '"', " ": " "}
+FOLDED = {
+    "-": "‐‑‒–—―−",
+    "'": "‘’‚‛′´",
+    '"': "“”„‟″«»",
+}
+_FROM = "".join(FOLDED.values())
+_TO = "".join(k * len(v) for k, v in FOLDED.items())
 TOKEN = r"(?U)\w+(?:[-']\w+)*"
 
 
+@cache
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """Characters that NFKC replaces: those by one character (from, to), and those by several."""
+    made = {c: unicodedata.normalize("NFKC", c) for c in map(chr, range(0xA0, 0x10000)) if not "\ud800" <= c <= "\udfff"}
+    one = {c: n for c, n in made.items() if n != c and len(n) == 1 and not "\uac00" <= c <= "\ud7a3"}
+    several = {c: n for c, n in made.items() if len(n) > 1 and not c.isspace()}
+    return "".join(one), "".join(one.values()), several
+
+
+def compatible(text: Column) -> Column:
+    """Compatibility forms replaced character by character, as NFKC does to text without loose marks.
+
+    Spark has no such function. Text within Latin letters of one byte is passed by; characters that
+    become several are looked up only where a text has one.
+    """
+    before, after, several = _compatible()
+    one = F.translate(text, before, after)
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    spread = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    wide = F.when(one.rlike(_MANY), spread).otherwise(one)
+    return F.when(text.rlike(r"[\x{A0}-\x{BF}\x{100}-\x{FFFF}]"), wide).otherwise(text)
+
+
+#: Where characters that NFKC makes several of may stand: Latin-1 fractions and marks, ligatures, signs, symbols.
+_MANY = r"[\x{A8}\x{AF}\x{B4}\x{B8}\x{BC}-\x{BE}\x{132}-\x{149}\x{1C4}-\x{1F3}\x{2D8}-\x{2DD}\x{37A}-\x{387}\x{587}-\x{678}\x{E33}-\x{EDD}\x{F0C}-\x{FB9}\x{1E9A}-\x{1FFE}\x{2017}-\x{2057}\x{20A8}-\x{2488}\x{249C}-\x{2A76}\x{2ADC}\x{3036}-\x{33FF}\x{FB00}-\x{FFEF}]"
+
+
 def fold(text: Column) -> Column:
     """Dash and quote variants as ASCII, white space collapsed."""
-    return F.trim(F.regexp_replace(F.translate(text, "".join(FOLDED), "".join(FOLDED.values())), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(text, _FROM, _TO), r"(?U)\s+", " "))
 
 
 def normalise(text: Column) -> Column:
-    """Folded and case-folded text; sharp s becomes ss."""
-    return F.replace(F.lower(fold(text)), F.lit("ß"), F.lit("ss"))
+    """Compatibility forms, folded and case-folded; sharp s becomes ss, final sigma sigma."""
+    return F.replace(F.replace(F.lower(fold(compatible(text))), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def tokens(text: Column) -> Column:

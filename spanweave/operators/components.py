@@ -20,17 +20,33 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, left: str = "src", right: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataFrame:
     """(node, component) for every node of an edge, the component named by its smallest node.
 
-    Self links and repeated links are fine; links with a null end are ignored.
+    Self links and repeated links are fine; links with a null end are ignored. Nodes that are not
+    numbers are numbered once, so that rounds move 8 bytes a node. Rounds go on until nothing changes;
+    their number grows with the logarithm of the longest way.
     """
     a, b = F.col(left), F.col(right)
-    everyone = edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    ends = edges.where(a.isNotNull() & b.isNotNull()).select(a.alias("a"), b.alias("b"))
+    if ends.schema["a"].dataType.simpleString() in ("bigint", "int"):
+        return _contract(ends)
+    ends = materialize(ends.distinct(), "ends")
+    nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
+    numbered = materialize(nodes.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    of = lambda c, n: numbered.select(F.col("node").alias(c), F.col("number").alias(n))
+    found = _contract(ends.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    named = materialize(numbered.join(found.withColumnRenamed("node", "number"), "number").select("node", "component"), "named")
+    least = named.groupBy("component").agg(F.min("node").alias("least"))
+    return named.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _contract(ends: DataFrame) -> DataFrame:
+    everyone = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = materialize(everyone.distinct(), "links")
     loops = now.where("u = v").select(F.col("u").alias("node"))
     now, before = now.where("u <> v"), None
-    for _ in range(max_rounds):
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -38,29 +38,36 @@ def touching(links: DataFrame, held: DataFrame, predicate: str | None = None) ->
     return one.unionByName(other).distinct()
 
 
-def reach(adj: DataFrame, seeds: DataFrame, depth: int = 2, limit: int | None = None) -> tuple[DataFrame, bool]:
-    """(node, depth, parent, link, predicates) by breadth, and whether the limit cut it.
-
-    The shortest walk stays, ties by the smallest (parent, link). Seeds have depth 0 and do not count
-    against the limit, which cuts by (depth, node). Each hop is one join, one aggregation and an
-    anti-join with what was seen, then written.
+def reach(adj: DataFrame, seeds: DataFrame, depth: int = 2, limit: int | None = None, forward: bool = True, backward: bool = True) -> tuple[DataFrame, bool]:
+    """(node, depth, parent, link, predicates, links) by breadth, and whether the limit cut it.
+
+    The walk kept is the first found: nodes of a hop are taken in the order in which they were found, the
+    links of each by id, seeds by id. ``links`` along a walk therefore order the nodes of a hop. The
+    limit counts all nodes, seeds included, and the search stops once it is reached. ``forward`` and
+    ``backward`` tell which way links may be crossed. The adjacency is read once; each hop is one join,
+    one aggregation and an anti-join with what was seen, then written.
     """
-    none = F.lit(None).cast("string")
-    front = seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("link"), F.array().cast("array<string>").alias("predicates"))
-    seen = front = materialize(front, "reach")
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    ways = [w for w, on in ((True, forward), (False, backward)) if on]
+    adj = materialize(adj.where(F.col("forward").isin(*ways)).select("a", "b", "link", "predicate"), "adjacency")
+    front = seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("link"), empty.alias("predicates"), F.array("node").alias("links"))
+    seen, partial = materialize(front, "reach"), False
+    front, held = seen, seen.count() if limit is not None else 0
     for hop in range(1, depth + 1):
-        step = front.select(F.col("node").alias("a"), "predicates").join(adj, "a")
-        best = step.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("parent"), "link", F.concat("predicates", F.array("predicate")).alias("predicates"))).alias("m"))
-        new = best.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("depth"), "m.parent", "m.link", "m.predicates")
-        front = materialize(new, "reach")
+        step = front.select(F.col("node").alias("a"), "predicates", "links").join(adj, "a")
+        walked = F.struct(F.concat("links", F.array("link")).alias("links"), F.col("a").alias("parent"), "link", F.concat("predicates", F.array("predicate")).alias("predicates"))
+        best = step.groupBy(F.col("b").alias("node")).agg(F.min(walked).alias("m")).join(seen.select("node"), "node", "left_anti")
+        front = materialize(best.select("node", F.lit(hop).alias("depth"), "m.parent", "m.link", "m.predicates", "m.links"), "reach")
+        if limit is not None and held + (found := front.count()) > limit:
+            front, partial = front.orderBy("links", "node").limit(max(limit - held, 0)), True
+        elif limit is not None:
+            held += found
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    if limit is None:
-        return seen, False
-    found = seen.where("depth > 0").orderBy("depth", "node").limit(limit + 1)
-    partial = found.count() > limit
-    return seen.where("depth = 0").unionByName(found.orderBy("depth", "node").limit(limit)), partial
+        if partial:
+            break
+    return seen, partial
 
 
 def reach_sql(spark, links: DataFrame, seed: str, depth: int = 2) -> DataFrame:
@@ -82,28 +89,48 @@ def lineage(links: DataFrame, causes: DataFrame, depends: list[str], depth: int
     return found.where("depth > 0").select("node", "depth", F.array_join(F.reverse("predicates"), " ").alias("path"))
 
 
-def walks(adj: DataFrame, ends: DataFrame, depth: int = 3) -> DataFrame:
-    """Simple paths from src to dst of ``ends``: src, dst, nodes, links, predicates, length."""
+def walks(adj: DataFrame, ends: DataFrame, depth: int = 3, limit: int | None = 60) -> DataFrame:
+    """Simple paths from src to dst of ``ends``: src, dst, nodes, links, predicates, length.
+
+    ``limit`` keeps the shortest of a pair, ties by their links. Only nodes that can still reach the
+    other end are walked to: their distance from it is found first, backwards.
+    """
+    near = ends.select("dst", F.col("dst").alias("b"), F.lit(0).alias("far")).distinct()
+    front = near = materialize(near, "near")
+    for far in range(1, depth):
+        back = front.join(adj.select("a", "b"), "b").select("dst", F.col("a").alias("b")).distinct()
+        front = materialize(back.join(near.select("dst", "b"), ["dst", "b"], "left_anti").select("dst", "b", F.lit(far).alias("far")), "near")
+        near = near.unionByName(front)
     empty = F.array().cast("array<string>")
     now = ends.select("src", "dst", F.array("src").alias("nodes"), empty.alias("links"), empty.alias("predicates"), F.col("src").alias("a"))
     found = None
-    for _ in range(depth):
+    for hop in range(1, depth + 1):
         step = now.join(adj.select("a", "b", "link", "predicate"), "a").where(~F.array_contains("nodes", F.col("b")))
+        step = step.join(near.where(F.col("far") <= depth - hop).drop("far"), ["dst", "b"], "left_semi")
         now = step.select("src", "dst", F.concat("nodes", F.array("b")).alias("nodes"), F.concat("links", F.array("link")).alias("links"), F.concat("predicates", F.array("predicate")).alias("predicates"), F.col("b").alias("a"))
         got = now.where("a = dst").drop("a")
         found = got if found is None else found.unionByName(got)
         now = now.where("a <> dst")
-    return found.withColumn("length", F.size("links"))
+    found = found.withColumn("length", F.size("links"))
+    if limit is None:
+        return found
+    order = Window.partitionBy("src", "dst").orderBy("length", "links")
+    return found.withColumn("__sw_n", F.row_number().over(order)).where(F.col("__sw_n") <= limit).drop("__sw_n")
 
 
-def path_flow(paths: DataFrame, weights: dict[str, float], decay: float = 0.8, keep: int = 8, against: str = "disputes") -> DataFrame:
-    """Best paths by flow, the product of each link's weight and the decay; counter-paths stay."""
-    table = F.create_map(*[x for k, v in (weights or {"": 1.0}).items() for x in (F.lit(k), F.lit(float(v)))])
+def path_flow(paths: DataFrame, weights: dict[str, float], decay: float = 0.8, keep: int = 8, against: tuple[str, ...] = ("disputes",)) -> DataFrame:
+    """The best ``keep`` of all paths by flow, and all counter-paths; adds score, signature, reason.
+
+    Flow is the product of each link's weight (none below 0) and the decay. Equal signatures count once.
+    """
+    table = F.create_map(*[x for k, v in (weights or {"": 1.0}).items() for x in (F.lit(k), F.lit(max(float(v), 0.0)))])
     flow = F.aggregate("predicates", F.lit(1.0), lambda a, p: a * F.coalesce(F.element_at(table, p), F.lit(1.0)) * decay)
-    scored = paths.withColumn("score", F.round(flow, 6)).withColumn("signature", F.concat_ws(" ", "links")).dropDuplicates(["signature"])
-    order = Window.partitionBy("src", "dst").orderBy(F.desc("score"), "signature")
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("rank") <= keep) | F.array_contains("predicates", against))
+    scored = materialize(paths.withColumn("score", F.round(flow, 6)).withColumn("signature", F.concat_ws(" ", "links")).dropDuplicates(["signature"]), "flows")
+    best = scored.orderBy(F.desc("score"), "signature").limit(keep)
+    counter = F.arrays_overlap("predicates", F.array(*[F.lit(p) for p in against]).cast("array<string>"))
+    rest = scored.where(counter).join(best.select("signature"), "signature", "left_anti").select(scored.columns)
+    said = F.format_string("flow %.4f", F.col("score"))
+    return best.withColumn("reason", said).unionByName(rest.withColumn("reason", F.concat(said, F.lit(", kept as a counter-path"))))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -120,46 +147,38 @@ def weighted(links: DataFrame, table: dict[str, float]) -> DataFrame:
 def diffuse(links: DataFrame, seeds: DataFrame, weights: dict[str, float] | None = None, damping: float = 0.85, rounds: int = 30, top: int | None = 12) -> DataFrame:
     """Personalised PageRank over links read both ways: (node, score) with scores rounded to 6.
 
-    Each round is a join and an aggregation, cut from its lineage every five rounds. The mass of nodes
-    without weight goes back to the seeds.
+    ``seeds``: node, and ``score`` where some weigh more; the walk restarts among those of the graph in
+    proportion. Nodes without weight to leave by return theirs to the seeds, so scores sum to one. Nodes
+    are numbered once; a round is a join, an aggregation and the sum that returns, cut from its lineage
+    every five rounds. Without seeds, or none in the graph, there is no result.
     """
     heavy = weighted(links, weights or {}).withColumn("weight", F.greatest(F.lit(0.0), "weight"))
-    ends = heavy.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(heavy.select(F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
-    pull = ends.groupBy("a", "b").agg(F.sum("weight").alias("w"))
-    out = ends.groupBy("a").agg(F.sum("weight").alias("out"))
-    share = materialize(pull.join(out.where("out > 0"), "a").select("a", "b", (F.col("w") / F.col("out")).alias("share")), "shares")
-    nodes = out.select(F.col("a").alias("node"), F.col("out"))
-    touched = nodes.join(seeds.select("node").distinct().withColumn("seed", F.lit(1.0)), "node", "left")
-    start = touched.agg(F.sum("seed").alias("s"), F.count("*").alias("n")).first()
-    if not start["n"]:
-        return nodes.select("node", F.lit(0.0).alias("score"))
-    home = (F.coalesce("seed", F.lit(0.0)) / F.lit(float(start["s"]))) if start["s"] else F.lit(1.0 / start["n"])
-    base = materialize(touched.select("node", "out", home.alias("home")), "restart")
-    rank = base.select("node", F.col("home").alias("score"))
+    ends = heavy.select(F.col("src").alias("x"), F.col("dst").alias("y"), "weight").unionByName(heavy.select(F.col("dst").alias("x"), F.col("src").alias("y"), "weight"))
+    pull = materialize(ends.groupBy("x", "y").agg(F.sum("weight").alias("w")), "pull")
+    out = pull.groupBy("x").agg(F.sum("w").alias("out"))
+    given = F.col("score").cast("double") if "score" in seeds.columns else F.lit(1.0)
+    home = seeds.groupBy("node").agg(F.max(given).alias("seed")).where("seed > 0")
+    base = materialize(out.withColumnRenamed("x", "node").withColumn("a", F.monotonically_increasing_id()).join(home, "node", "left"), "restart")
+    total = base.agg(F.sum("seed").alias("s")).first()["s"]
+    if not total:
+        return base.select("node", F.lit(0.0).alias("score")).where("false")
+    number = base.select("node", "a")
+    share = pull.join(base.where("out > 0").select(F.col("node").alias("x"), "a", "out"), "x").join(number.select(F.col("node").alias("y"), F.col("a").alias("b")), "y")
+    share = materialize(share.select("a", "b", (F.col("w") / F.col("out")).alias("share")).where("share > 0"), "shares")
+    base = base.select("node", "a", (F.coalesce("seed", F.lit(0.0)) / total).alias("home"), (F.col("out") <= 0).alias("stuck"))
+    rank = base.select("a", F.col("home").alias("score"))
+    stuck = base.where("stuck").select("a")
+    none = stuck.isEmpty()
     for k in range(rounds):
-        flow = rank.join(share, F.col("node") == F.col("a")).groupBy("b").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        # what arrives and what is lost sum to one, so the lost share needs no pass of its own
-        rank = base.join(flow, F.col("node") == F.col("b"), "left").select("node", "home", F.coalesce("got", F.lit(0.0)).alias("got"), "out")
-        rank = rank.select("node", (damping * F.col("got") + (1 - damping) * F.col("home")).alias("score"))
-        if k % 5 == 4:
+        lost = 0.0 if none else rank.join(stuck, "a", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()["s"]
+        flow = rank.join(share, "a").groupBy("b").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        rank = base.join(flow, F.col("a") == F.col("b"), "left").select("a", ((1 - damping + damping * lost) * F.col("home") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        if k % 5 == 4 or not none:
             rank = materialize(rank, "rank")
-    scored = rank.select("node", F.round("score", 6).alias("score"))
+    scored = base.select("node", "a").join(rank, "a").select("node", F.round("score", 6).alias("score"))
     return scored if top is None else scored.orderBy(F.desc("score"), "node").limit(top)
 
 
-def expand(links: DataFrame, roots: DataFrame, depth: int = 2, limit: int = 200, opposing: str = "disputes") -> tuple[DataFrame, DataFrame, bool]:
-    """(nodes, links, partial): what the roots reach, the links among it, and all that opposes it.
-
-    Opposing links that touch the package are taken in with their ends, one hop, whatever the budget.
-    """
-    found, partial = reach(adjacency(links), roots, depth, limit)
-    held = materialize(found.select("node", "depth"), "held")
-    against = touching(links, held, opposing)
-    ends = against.select(F.col("src").alias("node")).union(against.select("dst")).distinct().join(held.select("node"), "node", "left_anti")
-    nodes = held.unionByName(ends.select("node", F.lit(None).cast("int").alias("depth")))
-    return nodes, among(links, nodes).withColumn("opposes", F.col("predicate") == opposing), partial
-
-
 def partition(pairs: list[tuple[str, str]]) -> dict[str, str]:
     """Greedy modularity communities of a graph small enough for the driver (a package of expand)."""
     m = float(len(pairs))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.functions.text import fold, normalise
 from spanweave.plans.ontology import Ontology
 from spanweave.session import materialize
 
@@ -43,33 +46,109 @@ def cardinality_findings(nodes: DataFrame, links: DataFrame, kind: str, predicat
     return each.where((F.col("n") < at_least) | (F.col("n") > at_most if at_most is not None else F.lit(False)))
 
 
-def cycles(links: DataFrame, predicate: str, rounds: int = 32) -> DataFrame:
-    """Nodes that lie on a cycle of the predicate's links: what stays once ends without successors or predecessors are peeled."""
-    now = links.where(F.col("predicate") == predicate).select("src", "dst").distinct()
-    n = now.count()
-    for _ in range(rounds):
-        kept = now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        now = materialize(kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "cycle")
-        if (left := now.count()) == n:
-            break
-        n = left
-    return now.select(F.col("src").alias("node")).distinct()
-
-
-#: Words that turn a statement round (fixed values).
-NEGATIONS = ("not", "no", "never", "without", "fails", "failed")
+def cycles(links: DataFrame, predicate: str, at_once: int = 200_000) -> DataFrame:
+    """Nodes that lie on a cycle of the predicate's links: those of strong components, and self links.
+
+    Links from nodes without predecessors, or to nodes without successors, are peeled until none is left.
+    What stays is parted: each node takes the greatest node that leads to it, to the fixpoint; the nodes
+    that reach back to that one through nodes of the same label are its strong component and go; the rest
+    is peeled again. Once at most ``at_once`` links are left, the driver finds their strong components;
+    the result is the same. All loops end by themselves.
+    """
+    now = materialize(links.where(F.col("predicate") == predicate).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "cycle")
+    found = materialize(now.where("a = b").select(F.col("a").alias("node")).distinct(), "on-cycle")
+    now, n = now.where("a <> b"), None
+    while True:
+        while (left := now.count()) != n and left > at_once:
+            kept = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
+            kept = kept.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+            now, n = materialize(kept, "peeled"), left
+        if left <= at_once:
+            rows = _strong([(r["a"], r["b"]) for r in now.collect()])  # at_once links
+            return found.union(links.sparkSession.createDataFrame([(x,) for x in rows], found.schema)).distinct()
+        label = _fixpoint(now)
+        inside = label.select(F.col("node").alias("a"), F.col("top").alias("top")).join(now, "a").join(label.select(F.col("node").alias("b"), F.col("top").alias("same")), "b").where("top = same").select("a", "b")
+        inside = materialize(inside, "same-label")
+        component = front = materialize(label.where("node = top").select("node"), "component")
+        while not front.isEmpty():
+            more = inside.join(front.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node")).distinct().join(component, "node", "left_anti")
+            front = materialize(more, "component-new")
+            component = component.union(front)
+        component = materialize(component, "component")
+        on = inside.join(component.select(F.col("node").alias("a")), "a", "left_semi").join(component.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node"))
+        found = materialize(found.union(on.distinct()), "on-cycle")
+        without = now.join(component.select(F.col("node").alias("a")), "a", "left_anti").join(component.select(F.col("node").alias("b")), "b", "left_anti")
+        now, n = materialize(without.select("a", "b"), "cycle"), None
+
+
+def _strong(edges: list[tuple]) -> list:
+    """The nodes of strong components of more than one node, by two passes of depth-first search."""
+    ahead, behind = defaultdict(list), defaultdict(list)
+    for a, b in edges:
+        ahead[a].append(b)
+        behind[b].append(a)
+    done, seen = [], set()
+    for start in list(ahead):
+        stack = [(start, iter(ahead[start]))] if start not in seen else []
+        seen.add(start)
+        while stack:
+            node, rest = stack[-1]
+            step = next((x for x in rest if x not in seen), None)
+            if step is None:
+                done.append(node)
+                stack.pop()
+            else:
+                seen.add(step)
+                stack.append((step, iter(ahead.get(step, ()))))
+    out, seen = [], set()
+    for start in reversed(done):
+        group, todo = [], [start] if start not in seen else []
+        seen.add(start)
+        while todo:
+            node = todo.pop()
+            group.append(node)
+            new = [x for x in behind.get(node, ()) if x not in seen]
+            seen.update(new)
+            todo += set(new)
+        out += group if len(group) > 1 else []
+    return out
 
 
-def critique(nodes: DataFrame, onto: Ontology, name_field: str = "name", least_quote: int = 12) -> DataFrame:
-    """(id, finding): untyped, unnamed, thin, ungrounded, negation. Columns id, type, fields, quote, statement."""
-    said = lambda c: F.concat(F.lit(" "), F.lower(F.coalesce(c, F.lit(""))), F.lit(" "))
-    has = lambda c: F.exists(F.array(*[F.lit(f" {w} ") for w in NEGATIONS]), lambda w: said(c).contains(w))
-    quote = F.trim(F.coalesce("quote", F.lit("")))
+def _fixpoint(now: DataFrame) -> DataFrame:
+    """(node, top): the greatest node that leads to each, itself included."""
+    label = materialize(now.select(F.col("a").alias("node")).union(now.select("b")).distinct().withColumn("top", F.col("node")), "label")
+    while True:
+        come = now.join(label.select(F.col("node").alias("a"), "top"), "a").groupBy(F.col("b").alias("node")).agg(F.max("top").alias("new"))
+        new = materialize(label.join(come, "node", "left").select("node", F.greatest("top", F.coalesce("new", "top")).alias("top"), (F.col("new") > F.col("top")).alias("moved")), "label")
+        label = new.select("node", "top")
+        if new.where("moved").isEmpty():
+            return label
+
+
+def critique(nodes: DataFrame, onto: Ontology, name_field: str = "name", least_quote: int = 12, grounded: tuple[str, ...] = (), negations: tuple[str, ...] = ()) -> DataFrame:
+    """(id, finding, detail): untyped, unnamed, thin, ungrounded, negation.
+
+    nodes: id, type, fields, quote (a node's quotes, joined by blanks). untyped: the ontology lacks the
+    type; else unnamed: nothing fills the naming field, or it reads as the type. thin: the normalised
+    quote has fewer than ``least_quote`` characters. ungrounded: the value of a field of ``grounded`` is
+    not in the quote, both folded; detail is the field. negation: the quote has a marker of ``negations``,
+    words of the caller's language; detail is the marker.
+    """
+    quote = F.lower(fold(F.coalesce("quote", F.lit(""))))
+    known = F.coalesce(F.col("type").isin(*sorted(onto.classes)), F.lit(False))
+    name = F.coalesce(F.try_element_at("fields", F.lit(name_field)), F.lit(""))
+    one = lambda test, finding, detail="": F.when(test, F.struct(F.lit(finding).alias("finding"), F.lit(detail).alias("detail")))
+    value = lambda f: F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit(""))
     found = F.array(
-        F.when(~F.coalesce(F.col("type").isin(*sorted(onto.classes)), F.lit(False)), "untyped"),
-        F.when(F.coalesce(F.trim(F.col("fields")[name_field]), F.lit("")) == "", "unnamed"),
-        F.when((quote != "") & (F.length(quote) < least_quote), "thin"),
-        F.when(quote == "", "ungrounded"),
-        F.when(has(F.col("quote")) & ~has(F.col("statement")), "negation"),
+        one(~known, "untyped"),
+        one(known & ((normalise(name) == "") | (name == F.col("type"))), "unnamed"),
+        one(F.length(normalise(F.coalesce("quote", F.lit("")))) < least_quote, "thin"),
+        *[one((value(f) != "") & ~quote.contains(F.lower(fold(value(f)))), "ungrounded", f) for f in grounded],
+        *[one(quote.contains(m.lower()), "negation", m) for m in negations],
     )
-    return nodes.select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("finding"))
+    return nodes.select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("id", "f.finding", "f.detail")
+
+
+def repairable(findings: DataFrame) -> DataFrame:
+    """Findings that reading the source again could mend."""
+    return findings.where(F.col("finding").isin("unnamed", "thin", "ungrounded"))

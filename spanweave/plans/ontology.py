@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 Role = tuple[str, bool]
 """A property and whether it is read backwards."""
@@ -27,18 +27,46 @@ class Ontology:
     disjoint: frozenset[tuple[str, str]] = frozenset()
     some: frozenset[tuple[str, str, str]] = frozenset()
     both: frozenset[tuple[str, str, str]] = field(default=frozenset())  # A and B under C
+    fields: frozenset[tuple[str, str]] = frozenset()
+    """(class, field): what a class's nodes may record, told; classes below have it too."""
+    inverse_functional: frozenset[str] = frozenset()
+    equivalent: frozenset[tuple[str, str]] = frozenset()
+    equivalent_properties: frozenset[tuple[str, str]] = frozenset()
+    disjoint_properties: frozenset[tuple[str, str]] = frozenset()
+    rules: frozenset[tuple[tuple, tuple]] = frozenset()
+    """(left, right) inclusions of class expressions; see ``spanweave.plans.reason``."""
+
+    def declared_fields(self, name: str) -> set[str]:
+        above = self.superclasses_of(name)
+        return {f for c, f in self.fields if c in above}
+
+    def properties(self) -> set[str]:
+        """All property names that an axiom mentions."""
+        pairs = self.subproperties | self.inverses | self.equivalent_properties | self.disjoint_properties
+        ends = {p for p, _ in self.domains | self.ranges}
+        kinds = self.symmetric | self.transitive | self.functional | self.irreflexive | self.asymmetric | self.inverse_functional
+        return {p for pair in pairs for p in pair} | ends | kinds | {p for c, r in self.chains for p in (*c, r)} | {p for _, p, _ in self.some}
+
+    def with_axioms(self, **more) -> "Ontology":
+        """The ontology and more axioms of the named kinds."""
+        return replace(self, **{k: getattr(self, k) | frozenset(v) for k, v in more.items()})
 
     def subclasses_of(self, name: str) -> set[str]:
         """The class and all told below it."""
-        return _below({name}, {(sup, sub) for sub, sup in self.subclasses})
+        return _below({name}, {(sup, sub) for sub, sup in self._under()})
 
     def superclasses_of(self, name: str) -> set[str]:
-        return _below({name}, set(self.subclasses))
+        return _below({name}, self._under())
+
+    def _under(self) -> set[tuple[str, str]]:
+        """(class, class above it): told, and equivalent ones both ways."""
+        return {*self.subclasses, *self.equivalent, *((b, a) for a, b in self.equivalent)}
 
     def role_steps(self) -> set[tuple[Role, Role]]:
         """(role, role it is under): one step of the property hierarchy, with directions."""
         out: set[tuple[Role, Role]] = set()
-        for sub, sup in self.subproperties:
+        equal = {*self.equivalent_properties, *((b, a) for a, b in self.equivalent_properties)}
+        for sub, sup in self.subproperties | equal:
             out |= {((sub, False), (sup, False)), ((sub, True), (sup, True))}
         for a, b in self.inverses:
             for x, y in ((a, b), (b, a)):
@@ -64,23 +92,24 @@ class Ontology:
         """Kinds of axioms used that a profile (RDFS, EL, QL, RL) does not have."""
         allowed = {
             "RDFS": {"subclasses", "subproperties", "domains", "ranges"},
-            "EL": {"subclasses", "subproperties", "domains", "ranges", "transitive", "chains", "disjoint", "some", "both"},
-            "QL": {"subclasses", "subproperties", "domains", "ranges", "inverses", "symmetric", "disjoint", "some", "asymmetric", "irreflexive"},
-            "RL": {"subclasses", "subproperties", "domains", "ranges", "inverses", "symmetric", "transitive", "functional", "irreflexive", "asymmetric", "chains", "disjoint", "both"},
+            "EL": {"equivalent", "equivalent_properties", "subclasses", "subproperties", "domains", "ranges", "transitive", "chains", "disjoint", "some", "both"},
+            "QL": {"equivalent", "equivalent_properties", "disjoint_properties", "subclasses", "subproperties", "domains", "ranges", "inverses", "symmetric", "disjoint", "some", "asymmetric", "irreflexive"},
+            "RL": {"equivalent", "equivalent_properties", "disjoint_properties", "inverse_functional", "rules", "subclasses", "subproperties", "domains", "ranges", "inverses", "symmetric", "transitive", "functional", "irreflexive", "asymmetric", "chains", "disjoint", "both"},
         }[profile]
-        return sorted(k for k, v in self.__dict__.items() if k != "classes" and v and k not in allowed)
+        return sorted(k for k, v in self.__dict__.items() if k not in ("classes", "fields") and v and k not in allowed)
 
     def classify(self) -> tuple[dict[str, set[str]], set[str]]:
         """EL completion: (superclasses of each class, unsatisfiable classes)."""
-        names = set(self.classes) | {c for pair in self.subclasses | self.disjoint for c in pair} | {c for a, _, b in self.some for c in (a, b)} | {c for t in self.both for c in t}
+        names = set(self.classes) | {c for pair in self.subclasses | self.disjoint for c in pair} | {c for pair in self.equivalent for c in pair} | {c for a, _, b in self.some for c in (a, b)} | {c for t in self.both for c in t}
         sups = {n: {n} for n in names}
         edges: set[tuple[str, str, str]] = set()
         bottom: set[str] = set()
         domains = [(p, c) for p, c in self.domains]
+        under = self._under()
         while True:
             before = sum(map(len, sups.values())), len(edges), len(bottom)
             for n, s in sups.items():
-                for sub, sup in self.subclasses:
+                for sub, sup in under:
                     if sub in s:
                         s.add(sup)
                 for a, b, c in self.both:

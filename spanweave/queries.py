@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.text import jaccard, keep_cited, normalise, reslices, tokens
-from spanweave.operators import evidence, graph, log, rank, validate
+from spanweave.operators import bundle, evidence, graph, log, rank, validate
 from spanweave.operators.mapping import LinkMap, NodeMap, map_links, map_nodes, node_id, union
-from spanweave.plans import conjunctive, reason
+from spanweave.plans import conjunctive, plan, reason
 from spanweave.plans.ontology import Ontology
 from spanweave.session import load
 from spanweave.sources.readers import cut, render
@@ -39,6 +39,7 @@ ONTOLOGY = Ontology(
     domains=frozenset({("placed_by", "Order"), ("based_in", "Customer"), ("supplier_in", "Supplier"), ("in_region", "Nation")}),
     ranges=frozenset({("placed_by", "Customer"), ("based_in", "Nation"), ("supplier_in", "Nation"), ("in_region", "Region")}),
     disjoint=frozenset({("Customer", "Supplier"), ("Customer", "Order")}),
+    fields=frozenset({("Customer", "name"), ("Customer", "segment"), ("Supplier", "name"), ("Order", "status"), ("Order", "priority"), ("Region", "name"), ("Nation", "name")}),
 )
 
 
@@ -132,34 +133,63 @@ def cq_violations(spark, sf):
     return conjunctive.violations(nodes(spark, sf), links(spark, sf), ONTOLOGY)
 
 
-@query(WITH + "SELECT id, key FROM nodes WHERE type IN ('Customer', 'Supplier')")
+def _plan(spark, sf, *steps, tables=tuple(TABLES), predicates=tuple(LINKS), **options):
+    made = nodes(spark, sf, tables).withColumn("spans", F.array(F.struct(F.concat_ws(" ", "type", F.substring("key", -1, 1)).alias("source_id"))))
+    return plan.run([plan.Step(**s) for s in steps], made, links(spark, sf, predicates), ONTOLOGY, **{"limit": 10**12} | options)
+
+
+@query(WITH + "SELECT id FROM nodes WHERE type IN ('Customer', 'Supplier')")
 def plan_resolve(spark, sf):
-    return nodes(spark, sf).where(F.col("type").isin(*sorted(ONTOLOGY.subclasses_of("Party")))).select("id", "key")
+    return _plan(spark, sf, {"op": "resolve", "type": "Party"}).nodes.select(F.col("node").alias("id"))
+
+
+@query(WITH + "SELECT id FROM nodes WHERE type = 'Customer' AND id IN (SELECT " + _id("Customer", "c_custkey") + " FROM customer WHERE lower(c_mktsegment) IN ('building', 'machinery'))")
+def plan_resolve_terms(spark, sf):
+    return _plan(spark, sf, {"op": "resolve", "type": "Customer", "terms": ("Building", "machinery")}, tables=("customer",)).nodes.select(F.col("node").alias("id"))
 
 
-@query(f"SELECT {_id('Customer', 'c_custkey')} AS id FROM customer WHERE lower(c_mktsegment) = 'building'")
+@query(WITH + f"SELECT {_id('Nation', 'n_nationkey')} AS id FROM nation UNION SELECT {_id('Region', 'r_regionkey')} FROM region")
+def plan_resolve_certain(spark, sf):
+    """Nodes whose own type says nothing; relations alone make them places."""
+    bare = nodes(spark, sf, ("customer", "nation", "region")).withColumn("type", F.when(F.col("type") == "Customer", "Customer").otherwise("Unknown"))
+    made = links(spark, sf, ("in_region", "based_in"))
+    return plan.run([plan.Step("resolve", type="Place")], bare, made, ONTOLOGY, limit=10**12).nodes.join(bare.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("node").alias("id"))
+
+
+@query(f"SELECT {_id('Customer', 'c_custkey')} AS id, lower(c_mktsegment) = 'building' AS kept FROM customer")
 def plan_filter(spark, sf):
-    return nodes(spark, sf, ("customer",)).where(normalise(F.col("fields")["segment"]) == "building").select("id")
+    done = _plan(spark, sf, {"op": "resolve", "type": "Customer"}, {"op": "filter", "type": "Party", "field": "segment", "value": "BUILDING"}, tables=("customer",)).steps[-1]
+    return done.nodes.select(F.col("node").alias("id"), F.lit(True).alias("kept")).unionByName(done.excluded.select(F.col("node").alias("id"), F.lit(False).alias("kept")))
 
 
-@query(WITH + "SELECT DISTINCT src AS node, dst AS other FROM links WHERE predicate IN ('based_in', 'in_region', 'supplier_in')")
+@query(WITH + "SELECT 'node' AS kind, dst AS id FROM links WHERE predicate IN ('based_in', 'supplier_in') UNION SELECT 'witness', id FROM links WHERE predicate IN ('based_in', 'supplier_in')")
 def plan_traverse(spark, sf):
-    return links(spark, sf).where(F.col("predicate").isin(*ONTOLOGY.widen(["located_in"]))).select(F.col("src").alias("node"), F.col("dst").alias("other")).distinct()
+    done = _plan(spark, sf, {"op": "resolve", "type": "Party"}, {"op": "traverse", "predicate": "located_in"}, strict=True).steps[-1]
+    return done.nodes.select(F.lit("node").alias("kind"), F.col("node").alias("id")).unionByName(done.witnesses.select(F.lit("witness").alias("kind"), F.col("link").alias("id")))
 
 
-@query(WITH + "SELECT dst AS anchor, count(DISTINCT src) AS matched, min(src) AS first FROM links WHERE predicate = 'placed_by' GROUP BY dst")
+@query(WITH + "SELECT l.dst AS anchor, l.src AS matched FROM links l JOIN orders ON l.src = " + _id("Order", "o_orderkey") + " WHERE predicate = 'placed_by' AND o_orderstatus = 'F'")
 def plan_join(spark, sf):
-    return links(spark, sf, ("placed_by",)).groupBy(F.col("dst").alias("anchor")).agg(F.countDistinct("src").alias("matched"), F.min("src").alias("first"))
+    done = _plan(spark, sf, {"op": "resolve", "type": "Customer"}, {"op": "join", "predicate": "placed", "type": "Order", "field": "status", "value": "f"}, strict=True).steps[-1]
+    return done.groups.select(F.col("key").alias("anchor"), F.col("node").alias("matched"))
 
 
-@query("SELECT coalesce(nullif(lower(o_orderpriority), ''), 'unrecorded') AS grp, count(*) AS n FROM orders GROUP BY 1")
+@query(f"SELECT coalesce(nullif(lower(o_orderpriority), ''), 'unrecorded') AS grp, {_id('Order', 'o_orderkey')} AS id FROM orders")
 def plan_compare(spark, sf):
-    return nodes(spark, sf, ("orders",)).groupBy(F.coalesce(F.nullif(normalise(F.col("fields")["priority"]), F.lit("")), F.lit("unrecorded")).alias("grp")).agg(F.count("*").alias("n"))
+    done = _plan(spark, sf, {"op": "resolve", "type": "Order"}, {"op": "compare", "field": "priority"}, tables=("orders",), strict=True).steps[-1]
+    return done.groups.select(F.col("key").alias("grp"), F.col("node").alias("id"))
 
 
-@query(WITH + "SELECT count(*) AS n FROM nodes")
+@query(WITH + "SELECT count(*) AS n, (SELECT count(DISTINCT type || ' ' || right(key, 1)) FROM nodes) AS sources FROM nodes")
 def plan_aggregate(spark, sf):
-    return nodes(spark, sf).agg(F.count("*").alias("n"))
+    every = _plan(spark, sf, {"op": "resolve"}, {"op": "aggregate"}, {"op": "aggregate", "value": "sources"}, strict=True)
+    return spark.createDataFrame([(every.steps[1].count, every.steps[2].count)], "n long, sources long")
+
+
+@query(WITH + "SELECT 'node' AS kind, src AS id FROM links WHERE predicate = 'based_in' UNION SELECT 'node', dst FROM links WHERE predicate = 'based_in' UNION SELECT 'witness', id FROM links WHERE predicate = 'based_in'")
+def plan_oppose(spark, sf):
+    done = _plan(spark, sf, {"op": "resolve", "type": "Customer"}, {"op": "oppose", "predicate": "based_in"}, strict=True, opposing=("based_in",)).steps[-1]
+    return done.nodes.select(F.lit("node").alias("kind"), F.col("node").alias("id")).unionByName(done.witnesses.select(F.lit("witness").alias("kind"), F.col("link").alias("id")))
 
 
 @query(WITH + "SELECT id FROM nodes WHERE type = 'Customer' AND id NOT IN (SELECT " + _id("Customer", "o_custkey") + " FROM orders WHERE o_orderstatus = 'P')")
@@ -216,9 +246,9 @@ def reach_recursive(spark, sf):
     return graph.reach_sql(spark, links(spark, sf), _seed(spark, CUSTOMER, "1").first()["node"], 2)
 
 
-@query(f"WITH RECURSIVE {GRAPH}, r AS (SELECT {_id('Region', '1')} AS node, 0 AS depth UNION SELECT src, depth + 1 FROM r JOIN links ON dst = node WHERE depth < 4 AND predicate <> 'supplier_in') SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node")
+@query(f"WITH RECURSIVE {GRAPH}, r AS (SELECT {_id('Region', '1')} AS node, 0 AS depth, '' AS path UNION SELECT src, depth + 1, trim(predicate || ' ' || path) FROM r JOIN links ON dst = node WHERE depth < 4 AND predicate <> 'supplier_in') SELECT node, min(depth) AS depth, min(path) AS path FROM r WHERE depth > 0 GROUP BY node")
 def lineage(spark, sf):
-    return graph.lineage(links(spark, sf), _seed(spark, REGION, "1"), ["in_region", "based_in", "placed_by"], 4).select("node", "depth")
+    return graph.lineage(links(spark, sf), _seed(spark, REGION, "1"), ["in_region", "based_in", "placed_by"], 4)
 
 
 @query(f"WITH RECURSIVE {GRAPH}, r AS (SELECT id AS root, id AS node FROM nodes WHERE type = 'Region' UNION SELECT root, b FROM r JOIN adj ON a = node WHERE predicate <> 'supplier_in'), c AS (SELECT node, min(root) AS root FROM r GROUP BY node), low AS (SELECT root, min(node) AS component FROM c GROUP BY root) SELECT node, component FROM c JOIN low USING (root)")
@@ -226,23 +256,34 @@ def components(spark, sf):
     return graph.components(links(spark, sf, ("in_region", "based_in", "placed_by")))
 
 
-@query(WITH + f"SELECT count(*) AS n FROM links a JOIN links b ON a.dst = b.src WHERE a.predicate = 'based_in' AND b.predicate = 'in_region' AND b.dst = {_id('Region', '1')}")
-def simple_paths(spark, sf):
+def _routes(spark, sf):
     ends = nodes(spark, sf, ("customer",)).select(F.col("id").alias("src")).crossJoin(F.broadcast(_seed(spark, REGION, "1").withColumnRenamed("node", "dst")))  # one row
-    adj = graph.adjacency(links(spark, sf, ("in_region", "based_in")), both_ways=False)
-    return graph.walks(adj, ends, 2).agg(F.count("*").alias("n"))
+    return graph.walks(graph.adjacency(links(spark, sf, ("in_region", "based_in")), both_ways=False), ends, 2)
 
 
-@query()
+_ROUTES = f"routes AS (SELECT a.src, b.dst, a.id || ' ' || b.id AS signature FROM links a JOIN links b ON a.dst = b.src WHERE a.predicate = 'based_in' AND b.predicate = 'in_region' AND b.dst = {_id('Region', '1')})"
+
+
+@query(f"WITH {GRAPH}, {_ROUTES} SELECT src, dst, signature, 2::BIGINT AS length FROM routes")
+def simple_paths(spark, sf):
+    return _routes(spark, sf).select("src", "dst", F.concat_ws(" ", "links").alias("signature"), F.col("length").cast("long").alias("length"))
+
+
+@query(f"WITH {GRAPH}, {_ROUTES} SELECT src, dst, 0.32::DOUBLE AS score, signature FROM routes ORDER BY signature LIMIT 8")
 def path_flow(spark, sf):
-    ends = nodes(spark, sf, ("customer",)).select(F.col("id").alias("src")).crossJoin(F.broadcast(_seed(spark, REGION, "1").withColumnRenamed("node", "dst")))  # one row
-    adj = graph.adjacency(links(spark, sf, ("in_region", "based_in")), both_ways=False)
-    return graph.path_flow(graph.walks(adj, ends, 2), {"based_in": 0.5}).select("src", "dst", "score", "signature")
+    return graph.path_flow(_routes(spark, sf), {"based_in": 0.5}).select("src", "dst", "score", "signature")
 
 
-@query()
+def _spread(rounds: int) -> str:
+    """SQL of some rounds of the walk from one customer, a step a round."""
+    first = "p0 AS (SELECT DISTINCT a AS node, CASE WHEN a = " + _id("Customer", "1") + " THEN 1.0::DOUBLE ELSE 0 END AS score FROM adj), deg AS (SELECT a, count(*) AS n FROM adj GROUP BY a)"
+    step = "p{k} AS (SELECT h.node, 0.15 * h.score + 0.85 * coalesce(g.got, 0) AS score FROM p0 h LEFT JOIN (SELECT b AS node, sum(score / n) AS got FROM p{j} JOIN adj ON adj.a = p{j}.node JOIN deg ON deg.a = adj.a GROUP BY b) g USING (node))"
+    return ", ".join([first, *[step.format(k=k, j=k - 1) for k in range(1, rounds + 1)]])
+
+
+@query(f"WITH {GRAPH}, {_spread(12)} SELECT node, round(score, 6) AS score FROM p12 ORDER BY score DESC, node LIMIT 12")
 def pagerank(spark, sf):
-    return graph.diffuse(links(spark, sf, ("in_region", "based_in")), _seed(spark, CUSTOMER, "1"))
+    return graph.diffuse(links(spark, sf), _seed(spark, CUSTOMER, "1"), rounds=12)
 
 
 @query()
@@ -250,9 +291,17 @@ def communities(spark, sf):
     return graph.communities(links(spark, sf, ("in_region", "supplier_in")))
 
 
-@query()
+@query(f"WITH {GRAPH}, near AS (SELECT {_id('Customer', '1')} AS node UNION SELECT b FROM adj WHERE a = {_id('Customer', '1')}), wide AS (SELECT node FROM near UNION SELECT b FROM adj JOIN near ON a = node WHERE predicate = 'supplier_in') SELECT id, predicate = 'supplier_in' AS opposes FROM links WHERE (src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)) OR (predicate = 'supplier_in' AND (src IN (SELECT node FROM near) OR dst IN (SELECT node FROM near)))")
 def expand_objection(spark, sf):
-    return graph.expand(links(spark, sf), _seed(spark, CUSTOMER, "1"), 1, opposing="supplier_in")[0].select("node", "depth")
+    made = bundle.expand(links(spark, sf), _seed(spark, CUSTOMER, "1"), depth=1, limit=10**9, opposes=("supplier_in",))
+    return made.links.select("id", F.col("opposes"))
+
+
+@query(f"WITH {GRAPH}, near AS (SELECT {_id('Customer', '1')} AS node UNION SELECT b FROM adj WHERE a = {_id('Customer', '1')}) SELECT node, CASE WHEN node = {_id('Customer', '1')} THEN 'ranked 1.000; read twice' END AS reason FROM near UNION SELECT b, 'opposing supplier_in' FROM adj JOIN near ON a = node WHERE predicate = 'supplier_in' AND b NOT IN (SELECT node FROM near)")
+def expand_reasons(spark, sf):
+    seed = _seed(spark, CUSTOMER, "1")
+    made = bundle.expand(links(spark, sf), seed, depth=1, limit=10**9, opposes=("supplier_in",), reasons=seed.select("node", F.lit("ranked 1.000").alias("reason")))
+    return bundle.annotate(made, seed.select("node", F.lit("read twice").alias("said"))).nodes.select("node", "reason")
 
 
 def _facts(spark, sf):
@@ -353,11 +402,17 @@ def shacl_cardinality(spark, sf):
     return validate.cardinality_findings(nodes(spark, sf, ("customer",)), placed, "Customer", "placed_by", 5)
 
 
-@query("SELECT doc_id::VARCHAR AS id, f AS finding FROM (SELECT doc_id, unnest(list_filter([CASE WHEN coalesce(trim(source), '') = '' THEN 'unnamed' END, CASE WHEN length(trim(coalesce(text, ''))) BETWEEN 1 AND 11 THEN 'thin' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'ungrounded' END], lambda x: x IS NOT NULL)) AS f FROM documents)")
+@query(r"SELECT doc_id::VARCHAR AS id, f.finding AS finding, f.detail AS detail FROM (SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 9 = 0 THEN {'finding': 'untyped', 'detail': ''} WHEN coalesce(trim(source), '') = '' OR source = 'Order' THEN {'finding': 'unnamed', 'detail': ''} END, CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) < 40 THEN {'finding': 'thin', 'detail': ''} END, CASE WHEN source <> '' AND NOT contains(lower(coalesce(text, '')), lower(source)) THEN {'finding': 'ungrounded', 'detail': 'name'} END, CASE WHEN contains(lower(coalesce(text, '')), 'no ') THEN {'finding': 'negation', 'detail': 'No '} END], lambda x: x IS NOT NULL)) AS f FROM documents)")
 def critique(spark, sf):
     d = load(spark, sf, "documents")
-    rows = d.select(F.col("doc_id").cast("string").alias("id"), F.lit("Order").alias("type"), F.create_map(F.lit("name"), F.col("source")).alias("fields"), F.col("text").alias("quote"), F.col("text").alias("statement"))
-    return validate.critique(rows, ONTOLOGY)
+    rows = d.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 9 == 0, "Nothing").otherwise("Order").alias("type"), F.create_map(F.lit("name"), F.col("source")).alias("fields"), F.col("text").alias("quote"))
+    return validate.critique(rows, ONTOLOGY, least_quote=40, grounded=("name",), negations=("No ",))
+
+
+@query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a::VARCHAR AS node FROM r WHERE a = b")
+def cycle_nodes(spark, sf):
+    n = load(spark, sf, "nation").select(F.lit("next").alias("predicate"), F.col("n_nationkey").cast("string").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("string").alias("dst"))
+    return validate.cycles(n, "next")
 
 
 _SPANS = "sp AS (SELECT doc_id, 5 AS s, 5 + least(10, greatest(length(text) - 5, 0)) AS e, CASE WHEN doc_id % 7 = 0 THEN 'changed' ELSE substr(text, 6, 10) END AS quote, text FROM documents)"
@@ -382,10 +437,11 @@ def federation_check(spark, sf):
     return evidence.federation_check(spans, d.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("id")), d.select(F.col("doc_id").alias("source_id"), F.lit(1).alias("number"), "text"), ["v1"]).select("doc_id", "reason")
 
 
-@query("WITH h AS (SELECT sha256(text) AS s, count(DISTINCT source) AS r FROM documents GROUP BY 1) SELECT (SELECT count(*) FROM h) AS sources, (SELECT count(DISTINCT source) FROM documents) AS registries, (SELECT sum((r > 1)::BIGINT)::BIGINT FROM h) AS republished, (SELECT count(DISTINCT doc_id) FROM documents) AS individuals")
+@query("WITH h AS (SELECT sha256(text) AS s, count(DISTINCT source) AS r FROM documents GROUP BY 1), pair AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 10 = 3 AND doc_id + 1 IN (SELECT doc_id FROM documents)) SELECT (SELECT count(*) FROM h) AS sources, (SELECT count(DISTINCT source) FROM documents) AS registries, (SELECT sum((r > 1)::BIGINT)::BIGINT FROM h) AS republished, (SELECT count(DISTINCT doc_id) FROM documents) - (SELECT count(*) FROM pair) AS individuals, (SELECT count(*) FROM pair) AS identified")
 def independence(spark, sf):
     d = load(spark, sf, "documents")
-    return evidence.independence(d.select(F.sha2("text", 256).alias("source_id"), F.col("source").alias("registry"), F.col("doc_id").alias("node")))
+    pairs = d.select(F.col("doc_id").alias("a"), F.when(F.col("doc_id") % 10 == 3, F.col("doc_id") + 1).when(F.col("doc_id") % 10 == 7, -F.col("doc_id")).alias("b")).where("b IS NOT NULL")
+    return evidence.independence(d.select(F.sha2("text", 256).alias("source_id"), F.col("source").alias("registry"), F.col("doc_id").alias("node")), pairs)
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN round(p_size * 2.54, 6) WHEN p_partkey % 3 = 1 THEN p_size::DOUBLE END AS converted FROM part")
@@ -394,16 +450,25 @@ def compare_units(spark, sf):
     return evidence.convert(rows, [("in", "cm", 2.54)], "cm").select("p_partkey", F.round("converted", 6).alias("converted"))
 
 
-@query("SELECT a.o_custkey AS about, a.o_orderkey::VARCHAR AS supporting, b.o_orderkey::VARCHAR AS opposing, CASE WHEN lower(a.o_orderpriority) <> lower(b.o_orderpriority) THEN 'conditions differ' ELSE 'contradiction' END AS verdict FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'")
+_POSITION = "SELECT o_custkey AS about, o_orderkey::VARCHAR AS id, nullif(lower(o_orderpriority), '') AS x, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS y, CASE WHEN o_orderkey % 17 <> 0 THEN 's' || (o_orderkey % 5) END AS s, 'q' || (o_orderkey % 7) AS q, o_orderkey % 2 AS side FROM orders"
+
+
+@query(f"WITH p AS ({_POSITION}), j AS (SELECT a.about, a.id AS supporting, b.id AS opposing, a.s AS s1, b.s AS s2, a.q AS q1, b.q AS q2, array_to_string(list_filter([CASE WHEN a.x <> b.x THEN 'priority' END, CASE WHEN a.y <> b.y THEN 'status' END], lambda v: v IS NOT NULL), ' ') AS d FROM p a JOIN p b USING (about) WHERE a.side = 0 AND b.side = 1), v AS (SELECT *, CASE WHEN s1 IS NULL OR s2 IS NULL THEN 'ambiguous' WHEN q1 = q2 THEN 'extraction' WHEN d <> '' THEN 'conditions' WHEN s1 = s2 THEN 'ambiguous' ELSE 'disagreement' END AS verdict FROM j) SELECT about, supporting, opposing, verdict, CASE WHEN verdict = 'conditions' THEN d ELSE '' END AS differing FROM v")
 def reconcile(spark, sf):
-    o = load(spark, sf, "orders").select(F.col("o_custkey").alias("about"), F.col("o_orderkey").cast("string").alias("id"), F.create_map(F.lit("priority"), F.col("o_orderpriority")).alias("conditions"), "o_orderstatus")
-    return evidence.reconcile(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'")).drop("differing")
+    k = F.col("o_orderkey")
+    conditions = F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.when(k % 3 == 0, None).otherwise(F.col("o_orderstatus")))
+    o = load(spark, sf, "orders").select(F.col("o_custkey").alias("about"), k.cast("string").alias("id"), conditions.alias("conditions"), F.when(k % 17 != 0, F.concat(F.lit("s"), k % 5)).alias("source_id"), F.concat(F.lit("q"), k % 7).alias("quote"), (k % 2).alias("side"))
+    return evidence.reconcile(o.where("side = 0"), o.where("side = 1")).drop("reason")
 
 
-@query("WITH b AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1) SELECT o.o_orderkey AS id, b.o_orderkey AS baseline, CASE WHEN lower(o.o_orderpriority) <> lower(b.o_orderpriority) THEN 'priority' ELSE '' END AS apart, round(o.o_totalprice - b.o_totalprice, 2) AS change FROM orders o, b WHERE o.o_orderkey <> b.o_orderkey")
+@query("WITH r AS (SELECT o_orderkey AS id, lower(o_orderpriority) AS x, CASE WHEN o_orderkey % 3 > 0 THEN lower(o_orderstatus) END AS y, o_totalprice AS v, CASE o_orderkey % 4 WHEN 0 THEN 'usd' WHEN 1 THEN 'eur' WHEN 2 THEN '' ELSE 'yen' END AS u FROM orders), b AS (SELECT * FROM r WHERE u = 'usd' AND y IS NOT NULL ORDER BY id LIMIT 1), j AS (SELECT r.*, r.x = b.x AS sx, r.y = b.y AS sy FROM r, b WHERE r.id <> b.id), k AS (SELECT *, array_to_string(list_filter([CASE WHEN sx THEN 'priority' END, CASE WHEN sy THEN 'status' END], lambda v: v IS NOT NULL), ' ') AS matched, array_to_string(list_filter([CASE WHEN NOT sx THEN 'priority' END, CASE WHEN NOT sy THEN 'status' END], lambda v: v IS NOT NULL), ' ') AS differed, CASE WHEN y IS NULL THEN 'status' ELSE '' END AS missing FROM j) SELECT id, CASE WHEN u = 'yen' THEN 'insufficient' WHEN missing <> '' THEN 'insufficient' WHEN differed <> '' THEN 'partial' ELSE 'comparable' END AS verdict, matched, differed, missing, CASE WHEN u = 'eur' THEN round(v * 1.25, 4) END AS converted FROM k")
 def compare_baseline(spark, sf):
-    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.create_map(F.lit("priority"), F.col("o_orderpriority")).alias("conditions"), F.col("o_totalprice").alias("value"))
-    return evidence.compare(o, o.orderBy("id").limit(1)).withColumn("change", F.round("change", 2))
+    k = F.col("o_orderkey")
+    unit = F.element_at(F.array(F.lit("usd"), F.lit("eur"), F.lit(""), F.lit("yen")), (k % 4 + 1).cast("int"))
+    conditions = F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.when(k % 3 > 0, F.col("o_orderstatus")))
+    o = load(spark, sf, "orders").select(k.alias("id"), conditions.alias("conditions"), F.col("o_totalprice").alias("value"), unit.alias("unit"))
+    base = o.where("unit = 'usd' AND id % 3 > 0").orderBy("id").limit(1)
+    return evidence.compare(o, base, [("usd", "eur", 0.8)]).drop("reason").withColumn("converted", F.round("converted", 4))
 
 
 @query()
@@ -414,12 +479,34 @@ def align_steps(spark, sf):
     return evidence.align(planned, actual, 0.1)
 
 
-@query("SELECT trim(regexp_replace(lower(p_type), '\\s+', ' ', 'g')) AS label, count(*) AS n, count(DISTINCT p_brand) AS sources, count(DISTINCT p_brand) >= 3 AS promoted FROM part GROUP BY 1")
+@query("WITH l AS (SELECT l_orderkey AS plan, l_partkey AS part, l_linenumber AS nth FROM lineitem), p AS (SELECT plan, part, min(nth) AS i FROM l GROUP BY plan, part), q AS (SELECT plan, part, 100 - max(nth) AS j FROM l GROUP BY plan, part HAVING part % 5 > 0), m AS (SELECT p.plan, p.i, q.j, coalesce(lag(q.j) OVER (PARTITION BY p.plan, q.j IS NULL ORDER BY p.i, p.part) > q.j, false) AS r FROM p LEFT JOIN q USING (plan, part)) SELECT plan, i::BIGINT AS planned_nth, j::BIGINT AS actual_nth, CASE WHEN j IS NULL THEN 'missing' ELSE 'same' END AS verdict, j IS NOT NULL AND r AS reordered FROM m")
+def align_lines(spark, sf):
+    """Parts of an order as planned, and as shipped in another order with some left out."""
+    l = load(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("i"), (100 - F.max("l_linenumber")).alias("j"))
+    label = F.concat(F.lit("part"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"))
+    planned = l.select(F.col("l_orderkey").alias("plan"), F.col("i").alias("nth"), label.alias("label"))
+    actual = l.where("l_partkey % 5 > 0").select(F.col("l_orderkey").alias("plan"), F.col("j").alias("nth"), label.alias("label"))
+    return evidence.align(planned, actual).select("plan", "planned_nth", "actual_nth", "verdict", "reordered")
+
+
+@query("WITH w AS (SELECT p_partkey AS seq, p_brand AS source, lower(p_type) AS label, list_sort(string_split(lower(p_type), ' ')) AS k FROM part), f AS (SELECT k, first(label ORDER BY seq, label) AS term, first(label ORDER BY length(label), label) AS label, count(DISTINCT source) AS support FROM w GROUP BY k) SELECT term, support FROM f")
 def induce_pool(spark, sf):
-    return evidence.pooled_labels(load(spark, sf, "part").select(F.col("p_type").alias("label"), F.col("p_brand").alias("source_id")))
+    """Types whose words are the same ones, in any order, are pooled."""
+    parts = load(spark, sf, "part").select(F.col("p_partkey").alias("seq"), F.col("p_type").alias("label"), F.col("p_brand").alias("source_id"))
+    return evidence.pooled_labels(parts, 1.0).select("term", "support")
+
+
+@query("SELECT p_partkey::VARCHAR AS id, CASE WHEN p_size % 4 = 0 THEN 'unsupported' WHEN p_size % 3 = 0 THEN 'lossy' WHEN p_size % 5 = 0 THEN 'unsupported' ELSE 'exact' END AS profile, CASE WHEN p_size % 4 > 0 AND p_size % 3 > 0 AND p_size % 5 > 0 THEN CASE WHEN p_size % 2 = 0 THEN 'disjoint' ELSE 'subclass' END END AS form FROM part WHERE NOT (p_size % 4 > 0 AND p_size % 3 = 0 AND p_size % 5 = 0)")
+def unit_forms(spark, sf):
+    z = F.col("p_size")
+    units = load(spark, sf, "part").where("NOT (p_size % 4 > 0 AND p_size % 3 = 0 AND p_size % 5 = 0)").select(
+        F.col("p_partkey").cast("string").alias("id"), F.when(z % 5 == 0, "rhetorical").otherwise("Universal").alias("kind"), F.when(z % 3 > 0, F.when(z % 2 == 0, "no").otherwise("all")).alias("quantifier"),
+        F.when(z % 4 > 0, "affirmative").otherwise("").alias("polarity"), F.lit(None).cast("string").alias("modality"), F.col("p_brand").alias("subject_term"), F.col("p_type").alias("object_term"),
+    )
+    return evidence.translated(evidence.unit_forms(units, ("universal",)), {"all": "all", "no": "none"}).select("id", "profile", "form")
 
 
-@query(r"WITH w AS (SELECT doc_id AS source_id, i, substr(text, i::BIGINT * 500 + 1, 500) AS text FROM documents, range(0, 400) t(i) WHERE i * 500 < length(text)) SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY i) AS number, sha256(text) AS digest FROM w WHERE NOT regexp_full_match(text, '\s*')")
+@query(r"WITH w AS (SELECT doc_id AS source_id, i, substr(text, i::BIGINT * 500 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil(length(text) / 500)::BIGINT))) AS i FROM documents)) SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY i) AS number, sha256(text) AS digest FROM w WHERE NOT regexp_full_match(text, '\s*')")
 def segments_window(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text")
     return cut(docs, "window", 500).select("source_id", F.col("number").cast("long").alias("number"), F.sha2("text", 256).alias("digest"))
