@@ -13,7 +13,9 @@
   others, and orders its documents by a hash.
 
 There are at most ``max_blocks`` blocks besides one a source, at any size of input, so the tree works
-on a small table; documents only meet the blocks in a join on (source, block), whose keys are even.
+on a small table; documents only meet the blocks in a join on (source, block), whose keys are even. Blocks
+grow with the input instead: of 100 TB one has about 6 GB of text, some 2 million keys of 40 bytes, which
+is what the task that orders a source's last block sorts. Targets take a row a source in one task.
 Everything random is a hash with the seed: reruns agree. Null texts have no words and are never taken
 but in whole rounds; a null doc_id is an id of its own; equal rows are dealt together; an empty
 table gives an empty result.
@@ -28,6 +30,7 @@ from spanweave.llm.common import text_key, word_count
 from spanweave.session import materialize
 
 _D, _S, _H, _N = "__sw_d", "__sw_s", "__sw_h", "__sw_n"
+_ROW, _SHARD, _ORDER = "__sw_row", "__sw_shard", "__sw_order"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -143,20 +146,26 @@ def _first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n.cast("int")), "")
 
 
-def mix(docs: DataFrame, with_shards: bool = False, seed: int = 17, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, shards: int = 16, **options) -> DataFrame:
     """The mixed documents themselves: a row each time one is taken, columns as in ``docs``.
 
-    The last document of a source is cut to its first words. With ``with_shards`` each row also has
-    ``shard`` and ``shard_order``, by which a shard's rows are to be written.
+    Rows come shard by shard, as the splitting tree deals the blocks, and within a shard in the order of a
+    hash: each shard's rows are one partition's, to be written so. The last document of a source is cut to
+    its first words. A document travels as one column, so that no column's name matters.
     """
-    found, blocks, cuts, draws = plan_mix(docs, seed=seed, **options)
+    found, blocks, cuts, draws = plan_mix(docs, seed=seed, shards=shards, **options)
     whole = _same(blocks.select("s", "block", "rounds", "extra"), draws, ["s", "block"])
     aimed = found.select("s", "blocks").distinct()
-    keyed = deal(_keyed(docs).drop(_N), aimed, seed)
-    taken = _same(keyed, whole, ["s", "block"])
-    cut = _same(taken, cuts, [_D, _S, _H], "left")
+    rows = _keyed(docs).select(_D, _S, _H, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_ROW))
+    cut = _same(_same(deal(rows, aimed, seed), whole, ["s", "block"]), cuts, [_D, _S, _H], "left")
     last = F.col("round") > F.col("rounds") + F.col("extra")
-    text = F.when(last, _first_words(F.col("text"), F.col("cut"))).otherwise(F.col("text"))
+    of = lambda c: F.col(_ROW)[c]
+    text = F.when(last, _first_words(of("text"), F.col("cut"))).otherwise(of("text"))
+    made = {"text": text}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(last, F.length(text)).otherwise(of("n_chars")).cast(docs.schema["n_chars"].dataType)
     kept = cut.where(~last | F.col("cut").isNotNull())
-    extra = [F.col("shard"), F.xxhash64(F.lit(seed + 4), _D, _H, "round").alias("shard_order")] if with_shards else []
-    return kept.select(*[text.alias("text") if c == "text" else (F.when(last, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns], *extra)
+    order = F.xxhash64(F.lit(seed + 4), _D, _H, "round")
+    row = F.struct(*[made.get(c, of(c)).alias(c) for c in docs.columns]).alias(_ROW)
+    dealt = kept.select(row, F.col("shard").alias(_SHARD), order.alias(_ORDER)).repartition(shards, _SHARD).sortWithinPartitions(_SHARD, _ORDER)
+    return dealt.select(*[of(c).alias(c) for c in docs.columns])

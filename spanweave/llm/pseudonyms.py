@@ -6,9 +6,11 @@ equal pseudonyms in every document, different ones different, and the holder of
 
 * card numbers (13 to 19 digits, blanks or hyphens between, valid by the Luhn check): all digits but the
   last are permuted, the last is set so that the check holds again. Numbers that fail it are no cards.
-* phone numbers (+country, 7 to 12 digits): the digits after the country code are permuted.
+* phone numbers (+country, 7 to 12 digits): the digits after the country code, whose length its first
+  digits tell, are permuted.
 * dates (2001-12-31, 31/12/2001, 12.31.2001 read as day first where possible): permuted among the
-  days of their century; its 36,524 or 36,525 days are 92 x 397 or 75 x 487, so no walk is needed.
+  days of their century, 36,524 or 36,525, that is 92 x 397 or 75 x 487. A date that can only be read
+  month first stays one: it is permuted on until the day is above 12, so that it can be undone.
 * IPv4 addresses: permuted among all addresses.
 
 Digits are permuted without their separators and put back among them, so a number is linked however it
@@ -17,7 +19,8 @@ addresses, and secrets of 32 to 64 hexadecimal digits.
 
 Texts without a digit or an at sign are not searched. Null texts stay null and empty ones empty, both
 with zero counts; a date or address that does not exist is left alone; repeated rows are treated
-alike; other columns pass through. ``key`` is a parameter to be kept secret.
+alike; other columns pass through. ``key`` has no default: whoever has it can undo the numbers and dates
+with ``pseudonym(..., undo=True)``; mail addresses and secrets cannot be undone.
 """
 
 from __future__ import annotations
@@ -95,34 +98,40 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def card(value: Column, key: str) -> Column:
+#: Country codes by length: of one digit, of two; all others have three (fixed values).
+_COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
+def card(value: Column, key: str, undo: bool = False) -> Column:
     def made(d: Column) -> Column:
         valid = luhn_sum(d) % 10 == 0
-        head = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), "card", key)
+        head = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), "card", key, undo)
         checked = _once(head, lambda h: F.concat(h, F.pmod(10 - luhn_sum(F.concat(h, F.lit("0"))) % 10, F.lit(10)).cast("string")))
         return F.when(valid, _refill(value, checked)).otherwise(value)
 
     return _once(_only_digits(value), made)
 
 
-def phone(value: Column, key: str) -> Column:
-    country = F.regexp_extract(value, r"^\+\d{1,3}?(?=[ (-])", 0)
-    head = F.when(country == "", F.regexp_extract(value, r"^\+\d", 0)).otherwise(country)
-    return _once(head, lambda h: F.concat(h, _once(F.substring(value, F.length(h) + 1, F.length(value)), lambda rest: _refill(rest, permute_digits(_only_digits(rest), "phone", key)))))
+def phone(value: Column, key: str, undo: bool = False) -> Column:
+    def made(d: Column) -> Column:
+        head = F.regexp_extract(d, _COUNTRY, 0)
+        return _once(head, lambda h: _refill(value, F.concat(h, permute_digits(F.substring(d, F.length(h) + 1, F.length(d)), "phone", key, undo))))
+
+    return _once(_only_digits(value), made)
 
 
-def ip(value: Column, key: str) -> Column:
+def ip(value: Column, key: str, undo: bool = False) -> Column:
     parts = F.transform(F.split(value, r"\."), lambda c: c.cast("int"))
 
     def made(p: Column) -> Column:
-        out = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], F.lit(65536).cast("long"), F.lit(65536).cast("long"), "ip", key)
+        out = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], F.lit(65536).cast("long"), F.lit(65536).cast("long"), "ip", key, undo)
         text = _once(out, lambda s: F.concat_ws(".", F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256))
         return F.when(F.exists(p, lambda x: x > 255), value).otherwise(text)
 
     return _once(parts, made)
 
 
-def date(value: Column, key: str) -> Column:
+def date(value: Column, key: str, undo: bool = False) -> Column:
     iso = value.rlike(r"^\d{4}-")
     mark = F.substring(value, 3, 1)
     first = lambda d, m: F.try_to_date(F.concat(F.substring(value, 7, 4), F.lit("-"), F.substring(value, m, 2), F.lit("-"), F.substring(value, d, 2)), "yyyy-MM-dd")
@@ -134,9 +143,12 @@ def date(value: Column, key: str) -> Column:
         late = F.year(x) >= 2000
         start = F.when(late, F.lit("2000-01-01")).otherwise(F.lit("1900-01-01")).cast("date")
         a, b = F.when(late, 75).otherwise(92).cast("long"), F.when(late, 487).otherwise(397).cast("long")
-        n = F.datediff(x, start)
-        out = feistel(F.floor(n / b), n % b, a, b, "date", key)
-        moved = _once(out, lambda s: F.date_add(start, (s["l"] * b + s["r"]).cast("int")))
+        on = lambda n: _once(feistel(F.floor(n / b), n % b, a, b, "date", key, undo), lambda s: s["l"] * b + s["r"])
+        there = lambda n: F.date_add(start, n.cast("int"))
+        once = on(F.datediff(x, start).cast("long"))
+        # of 36,524 days 22,124 are after the 12th, so a walk of 64 steps ends but for one in 10 ** 25
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once, lambda n, i: F.when(F.day(there(n)) <= 12, on(n)).otherwise(n))
+        moved = there(F.when(order == "mdy", walked).otherwise(once))
         part = lambda d, p: F.date_format(d, p)
         shown = _once(
             moved,
@@ -166,8 +178,10 @@ def kind_of(value: Column) -> Column:
     return out
 
 
-def pseudonym(value: Column, key: str) -> Column:
-    made = {"email": email, "ip": ip, "phone": phone, "date": date, "secret": secret, "card": card}
+def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
+    """The pseudonym of a found value; with ``undo`` the value of a number's or date's pseudonym."""
+    turn = lambda f: lambda v, k: f(v, k, undo)
+    made = {"email": email, "ip": turn(ip), "phone": turn(phone), "date": turn(date), "secret": secret, "card": turn(card)}
     kind = kind_of(value)
     out = F.when(kind == KINDS[0], made[KINDS[0]](value, key))
     for k in KINDS[1:]:
@@ -175,7 +189,7 @@ def pseudonym(value: Column, key: str) -> Column:
     return out.otherwise(value)
 
 
-def pseudonymise(docs: DataFrame, key: str = "spanweave") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with pseudonyms in text, and ``__sw_found``: a map of kinds to how many values were replaced."""
     text = F.col("text")
     searched = text.rlike("[0-9@]")

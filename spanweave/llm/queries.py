@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +73,21 @@ def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+#: The session's setting that holds the key of pseudonyms.
+KEY = "spark.spanweave.pseudonym.key"
+
+
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text with pseudonyms, and how many values of each kind were replaced."""
+    """Each document's text with pseudonyms, and how many values of each kind were replaced.
+
+    The key is the session's; where it has none, a random one is made and kept for the session.
+    """
+    key = spark.conf.get(KEY, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY, key)
     docs = row_columns(load(spark, sf_dir, "documents"), "doc_id", "text")
-    out = pseudonyms.pseudonymise(docs)
+    out = pseudonyms.pseudonymise(docs, key)
     return out.select("doc_id", "text", *[F.col("__sw_found")[k].alias(f"n_{k}") for k in pseudonyms.KINDS])
 
 

@@ -3,8 +3,8 @@
 Format of a file (``.ids.zst``), readable by any zstandard decoder:
 
 * frames: each holds whole documents' ids (little-endian unsigned 32 bits), document after
-  document in ascending doc_id order; a frame ends once it holds ``frame_ids`` ids, so a longer
-  document has a frame of its own. Each has zstandard's content checksum.
+  document in ascending doc_id order. A document of ``frame_ids`` ids or more has a frame of its own;
+  shorter neighbours share one until together they have as many. Each has zstandard's content checksum.
 * a skippable frame (magic 0x184D2A50): the documents of the file, as (doc_id, null flag, ids).
 * a skippable frame (magic 0x184D2A5E): zstandard's seek table, per frame the compressed size, the
   size, and the low 32 bits of the content's XXH64; then the footer with the number of frames.
@@ -23,6 +23,7 @@ import posixpath
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,19 +45,30 @@ _DOC = np.dtype([("doc_id", "<i8"), ("null", "<u4"), ("n", "<u4")])
 _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("sum", "<u4")])
 
 
+def _records(numbers: array, kind: np.dtype) -> bytes:
+    """Numbers in a row as packed records."""
+    rows = np.frombuffer(numbers, np.int64).reshape(-1, len(kind)) if numbers else np.empty((0, len(kind)), np.int64)
+    out = np.empty(len(rows), kind)
+    for k, name in enumerate(kind.names):
+        out[name] = rows[:, k]
+    return out.tobytes()
+
+
 class FrameWriter:
     """Writes one file of frames to an open binary sink."""
 
-    def __init__(self, sink, frame_ids: int = 65_536, level: int = 1):
+    def __init__(self, sink, frame_ids: int = 2_048, level: int = 1):
         self.sink, self.frame_ids = sink, frame_ids
         self.packer = zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.waiting: list[bytes] = []
         self.held = 0
-        self.docs: list[tuple[int, int, int]] = []
-        self.entries: list[tuple[int, int, int]] = []
+        #: Three numbers a document, and a frame, in a row.
+        self.docs, self.entries = array("q"), array("q")
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, len(ids) // 4))
+        if self.waiting and len(ids) // 4 >= self.frame_ids:
+            self._flush()
+        self.docs.extend((doc_id or 0, int(doc_id is None), len(ids) // 4))
         self.waiting.append(ids)
         self.held += len(ids) // 4
         if self.held >= self.frame_ids:
@@ -66,14 +78,14 @@ class FrameWriter:
         data = b"".join(self.waiting)
         packed = self.packer.compress(data)
         self.sink.write(packed)
-        self.entries.append((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
+        self.entries.extend((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
         self.waiting, self.held = [], 0
 
     def close(self) -> None:
         if self.waiting:
             self._flush()
-        index = np.array(self.docs, _DOC).tobytes()
-        table = np.array(self.entries, _ENTRY).tobytes() + struct.pack("<IBI", len(self.entries), 0x80, FOOTER_MAGIC)
+        index, table = (_records(numbers, kind) for numbers, kind in ((self.docs, _DOC), (self.entries, _ENTRY)))
+        table += struct.pack("<IBI", len(self.entries) // 3, 0x80, FOOTER_MAGIC)
         self.sink.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
         self.sink.write(struct.pack("<II", SEEK_MAGIC, len(table)) + table)
 
@@ -121,23 +133,26 @@ class FrameReader:
             yield r, data[at : at + 4 * int(self.docs["n"][r])]
 
 
-_FILES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
+_FILES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())])
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None, frame_ids: int = 65_536, files: int | None = None) -> DataFrame:
-    """Encodes every document and writes the files; returns (path, n_docs, n_ids, start) a file.
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str | None = None, frame_ids: int = 2_048, files: int | None = None, file_bytes: int = 256 << 20) -> DataFrame:
+    """Encodes every document and writes the files; returns (path, n_docs, n_ids, low, high, start) a file.
 
     ``out`` is a folder's URI in a store that all executors reach; by default a new folder in the
-    shared one. ``files`` is by default the session's number of shuffle partitions. ``start``: ids
+    shared one. ``files`` is by default the session's number of shuffle partitions, and more where a file
+    would have over ``file_bytes`` of text. ``low`` and ``high``: the file's doc_ids. ``start``: ids
     in all files before. The list of files is written before it is returned, so files are made once.
     """
     spark = docs.sparkSession
     out = out or posixpath.join(shared_dir(spark), "spanweave", f"ids-{uuid.uuid4().hex}")
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = row_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    total = 0 if files else slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end, writer, path, n_docs, n_ids = struct.pack("<I", end_id), None, "", 0, 0
+        end, writer, path, n_docs, n_ids, low, high = struct.pack("<I", end_id), None, "", 0, 0, None, None
         for batch in rows:
             if not batch.num_rows:
                 continue
@@ -152,12 +167,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str | N
                 for doc_id, ids in zip(ids_of[lo : lo + 500], code.encode(texts.slice(lo, 500).to_pylist())):
                     writer.add(doc_id, ids + end)
                     n_docs, n_ids = n_docs + 1, n_ids + len(ids) // 4 + 1
+                    low, high = doc_id if low is None else low, doc_id
         if writer:
             writer.close()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64()), "low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64())})
 
-    slim = row_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     listed = materialize(slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, _FILES), "id-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return listed.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")).drop("part")
@@ -191,3 +206,11 @@ def read_documents(path: str, doc_ids: list[int]) -> dict[int, list[int]]:
         got = FrameReader(source)
         rows = np.flatnonzero(np.isin(got.docs["doc_id"], doc_ids) & (got.docs["null"] == 0)).tolist()
         return {int(got.docs["doc_id"][r]): np.frombuffer(ids, "<u4").tolist() for r, ids in got.documents(rows)}
+
+
+def find_documents(files: DataFrame, doc_ids: list[int]) -> dict[int, list[int]]:
+    """Ids of some documents of a whole set of files: the listing tells which files to open."""
+    asked = files.sparkSession.createDataFrame([(int(i),) for i in doc_ids], "id long")
+    hit = files.join(F.broadcast(asked), F.col("id").between(F.col("low"), F.col("high")))  # the caller's ids
+    paths = [r["path"] for r in hit.select("path").distinct().collect()]  # as many as ids, at most
+    return {i: ids for p in sorted(paths) for i, ids in read_documents(p, doc_ids).items()}

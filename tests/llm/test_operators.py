@@ -320,7 +320,7 @@ def test_pseudonyms(spark, empty):
     text = "card 4111 1111 1111 1111, bad 4111 1111 1111 1112, call +49 30 123456, on 2001-12-31 and 31/12/2001, from 10.0.0.1, mail Ann.B@x.org."
     rows = [(1, text, "s"), (2, "again 4111-1111-1111-1111 and 2001-12-31", "s"), (3, None, "s"), (4, "", "s"), (5, "300.1.1.1 2001-13-45", "s"), (1, text, "s")]
     got = {}
-    for r in pseudonyms.pseudonymise(table(spark, rows)).collect():
+    for r in pseudonyms.pseudonymise(table(spark, rows), "k").collect():
         assert got.setdefault(r.doc_id, r).text == r.text
     one, two = got[1].text, got[2].text
     assert "4111 1111 1111 1111" not in one and "4111 1111 1111 1112" in one and "Ann.B" not in one
@@ -334,7 +334,7 @@ def test_pseudonyms(spark, empty):
     assert got[3].text is None and got[4].text == "" and got[5].text == rows[4][1]
     other = {r.doc_id: r.text for r in pseudonyms.pseudonymise(table(spark, rows), key="else").collect()}
     assert other[1] != one
-    assert pseudonyms.pseudonymise(empty).collect() == []
+    assert pseudonyms.pseudonymise(empty, "k").collect() == []
 
 
 def test_permutation_is_undone(spark):
@@ -344,3 +344,65 @@ def test_permutation_is_undone(spark):
     moved = df.select("d", pseudonyms.permute_digits(F.col("d"), "card", "k").alias("m"))
     back = moved.select("d", "m", pseudonyms.permute_digits(F.col("m"), "card", "k", undo=True).alias("u")).collect()
     assert all(r.d == r.u for r in back) and len({r.m for r in back}) == 1000
+
+
+def test_whole_values_are_undone_and_phones_linked(spark):
+    from pyspark.sql import functions as F
+
+    found = ["+49 30 1234567", "+493012345678", "+1 (212) 5550123", "12/31/2001", "31/12/2001", "01.13.1999", "2000-02-29", "1.2.3.4", "4111-1111-1111-1111", "02/03/2004"]
+    found += [f"{m:02}/{d:02}/{y}" for y in (1900, 1999, 2000, 2099) for m in (1, 2, 12) for d in (13, 28)]
+    df = spark.createDataFrame([(v,) for v in found], "v string").select("v", pseudonyms.pseudonym(F.col("v"), "k").alias("p"))
+    rows = df.select("v", "p", pseudonyms.pseudonym(F.col("p"), "k", undo=True).alias("u")).collect()
+    assert [(r.v, r.u) for r in rows if r.v != r.u or r.v == r.p] == []
+    assert all(re.sub(r"\d", "0", r.v) == re.sub(r"\d", "0", r.p) for r in rows if r.v != "1.2.3.4")
+    assert len({r.p for r in rows}) == len(found)
+    assert all(int(r.p[3:5]) > 12 for r in rows if re.match(r"\d\d[/.](1[3-9]|2|3)", r.v))
+    two = spark.createDataFrame([("+49 30 1234567",), ("+49301234567",), ("+49-(30)123-4567",)], "v string")
+    assert len({re.sub(r"\D", "", r[0]) for r in two.select(pseudonyms.pseudonym(F.col("v"), "k")).collect()}) == 1
+
+
+def test_mix_deals_shards_and_minds_no_names(spark, rows):
+    names = ["s", "block", "blocks", "rounds", "extra", "round", "shard", "cut", "rest", "nth", "size", "target", "words", "copies", "n"]
+    docs = table(spark, rows).drop("key", "fp", "h").selectExpr("*", *[f"doc_id AS `{n}`" for n in names])
+    plain = mixing.mix(table(spark, rows), block_words=64, shards=4)
+    mixed = mixing.mix(docs, block_words=64, shards=4)
+    assert mixed.columns == docs.columns
+    assert sorted(map(str, (r[:3] for r in mixed.collect()))) == sorted(map(str, (r[:3] for r in plain.collect())))
+    assert all(r[n] == r.doc_id for r in mixed.collect() for n in names)
+    from pyspark.sql import functions as F
+
+    order = [r.doc_id for r in plain.withColumn("p", F.spark_partition_id()).collect()]
+    assert order != sorted(order, key=lambda i: (i is None, i)) and [r.doc_id for r in mixing.mix(table(spark, rows), block_words=64, shards=4).collect()] == order
+    draws = mixing.plan_mix(table(spark, rows), block_words=64, shards=4)[3]
+    sizes = sorted(r["count"] for r in draws.groupBy("shard").count().collect())
+    assert len(sizes) == 4 and sizes[-1] - sizes[0] <= 2
+
+
+def test_documents_are_found_in_a_set_of_files(spark, docs, rows):
+    files = token_output.write_token_files(docs, WORD, end_id=1, files=4)
+    e = Encoder(WORD).tokenizer
+    text = {i: t for i, t, _ in rows if i is not None}
+    got = token_output.find_documents(files, [3, 59, 104, 5555])
+    assert got == {i: e.encode(text[i], add_special_tokens=False).ids + [1] for i in (3, 59, 104)}
+
+
+def test_a_long_document_has_its_own_frame(tmp_path):
+    import pyarrow.fs
+
+    name = f"{tmp_path}/one.zst"
+    with open(name, "wb") as sink:
+        w = token_output.FrameWriter(sink, frame_ids=10)
+        for i, n in enumerate([3, 4, 50, 2, 9, 1]):
+            w.add(i, np.arange(n, dtype="<u4").tobytes())
+        w.close()
+    with pyarrow.fs.LocalFileSystem().open_input_file(name) as source:
+        r = token_output.FrameReader(source)
+        assert r.frame_of.tolist() == [0, 0, 1, 2, 2, 3] and [len(ids) // 4 for _, ids in r.documents()] == [3, 4, 50, 2, 9, 1]
+
+
+def test_unknown_tokenizer_files_take_no_shortcut(tmp_path, rows):
+    import shutil
+
+    path = shutil.copy(BYTE, tmp_path / "other.json")
+    e = Encoder(str(path))
+    assert not e.known and [np.frombuffer(g, "<u4").tolist() for g in e.encode([t for _, t, _ in rows[:5]])] == [x.ids for x in e.tokenizer.encode_batch([t for _, t, _ in rows[:5]], add_special_tokens=False)]
