@@ -1,6 +1,12 @@
 """A training-data pipeline over ``documents``; each stage's result is written and read by the next.
 
 quality rules -> line dedup -> SimHash near-dedup -> mixing to target weights -> best-fit packing.
+
+Null and empty texts have no words, so the base rules reject them. Documents of a null doc_id take part
+in all stages and keep it null; to line dedup they are one document that comes last. Of linked documents
+the one of the smallest doc_id stays, of equal rows one. A null source is the last source of the mix. An
+empty ``documents`` gives an empty result. Other columns travel through the first four stages, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row each time the mix takes a document; a source's last one is cut to its first words."""
+    """A row each time the mix takes a document, shard by shard; a source's last one is cut to its first words."""
     return mixing.mix(docs)
 
 
