@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,10 @@ def first_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def select(spark, sql: str) -> DataFrame:
     """One reading statement over registered views; anything else is refused."""
-    text = sql.strip().rstrip(";")
-    if ";" in text or text.split(None, 1)[0].upper() not in ("SELECT", "WITH"):
+    text = sql.strip().rstrip(";").strip()
+    if not text or text.split(None, 1)[0].upper() not in ("SELECT", "WITH"):
         raise ValueError("a single SELECT or WITH statement is expected")
-    return spark.sql(text)
+    try:  # only a query can stand in brackets
+        return spark.sql(f"SELECT * FROM ({text}\n)")
+    except ParseException as e:
+        raise ValueError("a single SELECT or WITH statement is expected") from e
