@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.text import jaccard, keep_cited, normalise, reslices, tokens
-from spanweave.operators import bundle, evidence, graph, log, rank, validate
+from spanweave.operators import bundle, evidence, graph, locate, log, rank, validate
 from spanweave.operators.mapping import LinkMap, NodeMap, map_links, map_nodes, node_id, union
 from spanweave.plans import conjunctive, plan, reason
 from spanweave.plans.ontology import Ontology
 from spanweave.session import load
+from spanweave.sources import ontology, store
 from spanweave.sources.readers import cut, render
 from spanweave.streaming.log import counts_per_window
 
@@ -526,3 +527,80 @@ def answer_cited(spark, sf):
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def events_per_hour(spark, sf):
     return counts_per_window(load(spark, sf, "events"))
+
+
+_QUOTES = "q AS (SELECT conv_id, turn, text, trim(substr(text, 6, 30)) AS piece FROM conversations WHERE length(trim(substr(text, 6, 30))) >= 12 AND NOT regexp_matches(text, '[\\s][\\s]') AND NOT contains(text, chr(10)))"
+
+
+def _quotes(spark, sf):
+    c = load(spark, sf, "conversations")
+    piece = F.trim(F.substring("text", 6, 30))
+    some = c.where((F.length(piece) >= 12) & ~F.col("text").rlike(r"\s\s") & ~F.col("text").contains("\n"))
+    quote = F.when(F.col("turn") % 3 == 0, F.replace(piece, F.lit(" "), F.lit("  "))).otherwise(piece)
+    asked = some.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("conv_id").alias("source_id"), F.col("turn").cast("int").alias("segment"), quote.alias("quote"))
+    return asked, c.select(F.col("conv_id").alias("source_id"), F.col("turn").cast("int").alias("number"), "text")
+
+
+@query(f"WITH {_QUOTES} SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS id, turn::INTEGER AS segment, (instr(text, piece) - 1)::INTEGER AS start, (instr(text, piece) - 1 + length(piece))::INTEGER AS stop, CASE WHEN turn % 3 = 0 AND contains(piece, ' ') THEN 'normalised' ELSE 'exact' END AS method FROM q")
+def locate_quotes(spark, sf):
+    placed = locate.locate(*_quotes(spark, sf))
+    return placed.select("id", F.col("span.segment").alias("segment"), F.col("span.start").alias("start"), F.col("span.end").alias("stop"), "method")
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, 'second ' || n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 2 END AS assertions FROM nation UNION ALL SELECT 'gone', 'kept', 2")
+def store_projection(spark, sf):
+    """Nodes asserted twice, the odd ones again, and one whose second assertion is withdrawn by a third."""
+    held = store.MemoryStore(spark)
+    n = load(spark, sf, "nation")
+    node = lambda d, name: d.select(F.col("id"), F.lit("Nation").alias("type"), F.create_map(F.lit("name"), name).alias("fields"))
+    rows = n.select(F.col("n_nationkey").cast("string").alias("id"), "n_name", "n_nationkey")
+    held.assert_("2024-01-01", node(rows.where("n_nationkey % 2 = 1"), F.col("n_name")))
+    held.assert_("2024-01-02", node(rows, F.concat(F.lit("second "), "n_name")))
+    one = spark.range(1).select(F.lit("gone").alias("id"))
+    held.assert_("2024-01-03", node(one, F.lit("wrong")))
+    held.assert_("2024-01-01", node(one, F.lit("kept")), supersedes=held.assertions("gone").first()["id"])
+    counts = held.assertions().groupBy(F.col("target_id").alias("id")).agg(F.count("*").cast("int").alias("assertions"))
+    return held.nodes().select("id", F.col("fields")["name"].alias("name")).join(counts, "id")
+
+
+@query(WITH + "SELECT '<urn:graph:' || id || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <urn:graph:' || type || '> .' AS line FROM nodes WHERE type IN ('Nation', 'Region') UNION ALL SELECT '<urn:graph:' || " + _id("Nation", "n_nationkey") + " || '> <urn:graph:name> \"' || n_name || '\" .' FROM nation UNION ALL SELECT '<urn:graph:' || " + _id("Region", "r_regionkey") + " || '> <urn:graph:name> \"' || r_name || '\" .' FROM region UNION ALL SELECT '<urn:graph:' || src || '> <urn:graph:in_region> <urn:graph:' || dst || '> .' FROM links WHERE predicate = 'in_region' UNION ALL SELECT '<urn:graph:' || id || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#' || unnest(['subject', 'predicate', 'object']) || '> <urn:graph:' || unnest([src, predicate, dst]) || '> .' FROM links WHERE predicate = 'in_region'")
+def rdf_lines(spark, sf):
+    return ontology.graph_triples(nodes(spark, sf, ("nation", "region")), links(spark, sf, ("in_region",)))
+
+
+_NATIONS = f"base AS (SELECT {_id('Nation', 'n_nationkey')} AS s, {_id('Region', 'n_regionkey')} AS o FROM nation)"
+
+
+@query(f"WITH {_NATIONS} SELECT s, 'in_region' AS p, o FROM base UNION SELECT a.s, 'same_as', b.s FROM base a JOIN base b ON a.o = b.o AND a.s <> b.s")
+def rl_inverse_functional(spark, sf):
+    """Were a region of one nation only, its nations would be one."""
+    told = links(spark, sf, ("in_region",)).select(F.col("src").alias("s"), F.col("predicate").alias("p"), F.col("dst").alias("o"))
+    return reason.close(told, Ontology(inverse_functional=frozenset({"in_region"})))[0].select("s", "p", "o")
+
+
+@query(f"WITH n AS (SELECT {_id('Nation', 'n_nationkey')} AS id, n_nationkey FROM nation WHERE n_regionkey = 1) SELECT id, 'Home' AS type FROM n UNION SELECT {_id('Customer', 'c_custkey')}, 'Local' FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n) UNION SELECT {_id('Region', '1')}, 'Known'")
+def rl_expressions(spark, sf):
+    region = _seed(spark, REGION, "1").first()["node"]
+    onto = Ontology(rules=frozenset({(("and", "Nation", ("value", "in_region", region)), "Home"), (("some", "based_in", "Home"), "Local"), ("Home", ("only", "in_region", "Known"))}))
+    made = reason.entail(nodes(spark, sf, ("nation", "customer")), links(spark, sf, ("in_region", "based_in")), onto)
+    return made["typings"]
+
+
+@query(f"SELECT DISTINCT 'cls-maxc' AS rule, {_id('Nation', 'c_nationkey')} AS node FROM customer UNION SELECT DISTINCT 'cls-com', {_id('Customer', 'c_custkey')} FROM customer WHERE c_nationkey = 3 UNION SELECT 'prp-irp', {_id('Region', 'r_regionkey')} FROM region")
+def rl_clashes(spark, sf):
+    told = links(spark, sf, ("based_in",)).select(F.col("dst").alias("s"), F.lit("base_of").alias("p"), F.col("src").alias("o"))
+    typed = told.select(F.col("s"), F.lit("type").alias("p"), F.lit("Empty").alias("o")).distinct()
+    regions = nodes(spark, sf, ("region",)).select(F.col("id").alias("s"), F.lit("within").alias("p"), F.col("id").alias("o"))
+    third = _seed(spark, NATION, "3").first()["node"]
+    onto = Ontology(rules=frozenset({("Empty", ("max", 0, "base_of", "Thing")), (("value", ("base_of", True), third), ("not", ("value", ("base_of", True), third)))}), irreflexive=frozenset({"within"}))
+    return reason.clashes(told.unionByName(typed).unionByName(regions), onto).select("rule", "node").distinct()
+
+
+@query(WITH + "SELECT (SELECT count(*) FROM links WHERE predicate IN ('placed_by', 'based_in')) + (SELECT count(DISTINCT (o.src, c.dst)) FROM links o JOIN links c ON o.dst = c.src WHERE o.predicate = 'placed_by' AND c.predicate = 'based_in') AS links, (SELECT count(*) FROM links o JOIN links c ON o.dst = c.src WHERE o.predicate = 'placed_by' AND c.predicate = 'based_in') AS derived")
+def expand_entailed(spark, sf):
+    """The package around all customers over told and derived links."""
+    told = links(spark, sf, ("placed_by", "based_in"))
+    made = reason.entail(nodes(spark, sf, ("orders", "customer", "nation")), told, Ontology(chains=ONTOLOGY.chains))
+    seeds = nodes(spark, sf, ("customer", "nation")).select(F.col("id").alias("node"))
+    found = bundle.expand_entailed(told, seeds, made, depth=1, limit=10**9)
+    return found.links.agg(F.count("*").alias("links"), F.count_if("derived").alias("derived"))
