@@ -18,6 +18,8 @@ FOLDED = {
 _FROM = "".join(FOLDED.values())
 _TO = "".join(k * len(v) for k, v in FOLDED.items())
 TOKEN = r"(?U)\w+(?:[-']\w+)*"
+#: The same where a text is ASCII: white space and folding change no word of it.
+PLAIN = r"[a-z0-9_]+(?:[-'][a-z0-9_]+)*"
 
 
 @cache
@@ -59,7 +61,8 @@ def normalise(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words of the normalised text, hyphens and apostrophes inside kept."""
-    return F.regexp_extract_all(normalise(text), F.lit(TOKEN), F.lit(0))
+    plain = F.regexp_extract_all(F.lower(text), F.lit(PLAIN), F.lit(0))
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.regexp_extract_all(normalise(text), F.lit(TOKEN), F.lit(0)))
 
 
 def jaccard(left: Column, right: Column) -> Column:

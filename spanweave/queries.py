@@ -357,8 +357,19 @@ _RANK = f"{_POST}, hit AS (SELECT node, count(DISTINCT term) AS shared FROM post
 
 
 def _ranked(spark, sf, limit):
+    return rank.score_texts(load(spark, sf, "documents"), ["the", "est", "und", "que"], limit, "doc_id")
+
+
+@query(f"WITH {_RANK} SELECT node, score FROM scored ORDER BY score DESC, node LIMIT 8")
+def rank_indexed(spark, sf):
     docs = load(spark, sf, "documents")
-    return rank.retrieve(rank.postings(docs, "doc_id"), rank.lengths(docs, "doc_id"), ["the", "est", "und", "que"], limit)
+    return rank.retrieve(rank.postings(docs, "doc_id"), rank.lengths(docs, "doc_id"), ["the", "est", "und", "que"], 8)
+
+
+@query(f"WITH {_RANK}, weight AS (SELECT source, round(sum(score), 6) AS w FROM scored JOIN documents ON doc_id = node GROUP BY source ORDER BY w DESC, source LIMIT 2) SELECT doc_id AS node, w AS score FROM documents JOIN weight USING (source) ORDER BY w DESC, doc_id LIMIT 50")
+def rank_routed(spark, sf):
+    groups = load(spark, sf, "documents").select(F.col("doc_id").alias("node"), F.col("source").alias("topic"))
+    return rank.retrieve_routed(_ranked(spark, sf, None), groups, True, top=2)[0]
 
 
 @query(f"WITH {_RANK} SELECT node, score FROM scored ORDER BY score DESC, node LIMIT 8")
