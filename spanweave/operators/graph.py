@@ -221,16 +221,54 @@ def communities(links: DataFrame, min_size: int = 1, most_links: int = 100_000)
     return links.sparkSession.createDataFrame(kept, "node string, community string")
 
 
-def grow(prizes: dict[str, float], pairs: list[tuple[str, str]], root: str, cost: float = 1.0) -> list[str]:
-    """Greedy prize growth from a root: take the neighbour whose prize beats the cost most."""
+def grow(prizes: dict[str, float], pairs: list[tuple[str, str]], cost: float = 1.0, limit: int = 40, whole: dict[str, tuple[str, ...]] | None = None) -> tuple[list[str], float, float]:
+    """(nodes, prize, cost) of a region grown from the best prize: each step takes the neighbour that pays most.
+
+    A neighbour pays its prize, and that of the parts that ``whole`` says come with it, less ``cost``; ties
+    go to the neighbour of the smallest node held, then by id. Nothing that does not pay is taken.
+    """
+    whole = whole or {}
     near: dict[str, set[str]] = defaultdict(set)
     for a, b in pairs:
         near[a].add(b)
         near[b].add(a)
-    held = [root]
-    while True:
-        edge = {n for h in held for n in near[h]} - set(held)
-        best = min(edge, key=lambda n: (-(prizes.get(n, 0.0) - cost), n), default=None)
-        if best is None or prizes.get(best, 0.0) - cost <= 0:
-            return held
-        held.append(best)
+    if not prizes:
+        return [], 0.0, 0.0
+    first = max(sorted(prizes), key=lambda n: prizes[n])
+    held, spent = {first, *whole.get(first, ())}, 0.0
+    while len(held) < limit:
+        worth = lambda n: sum(prizes.get(x, 0.0) for x in {n, *whole.get(n, ())} - held) - cost  # noqa: E731, B023
+        best, gain = None, 0.0
+        for h in sorted(held):
+            for n in sorted(near[h] - held):
+                if (w := worth(n)) > gain:
+                    best, gain = n, w
+        if best is None:
+            break
+        held |= {best, *whole.get(best, ())}
+        spent += cost
+    return sorted(held), round(sum(prizes.get(n, 0.0) for n in held), 6), spent
+
+
+def select_subgraph(links: DataFrame, hits: DataFrame, cost: float = 0.3, limit: int = 40, whole: DataFrame | None = None, most_links: int = 100_000) -> DataFrame:
+    """(node, prize) of the region that pays around the hits (node, score), prizes as shares of the best score.
+
+    ``whole``: node, part: parts that come with a node. Growth is sequential, so it runs on the driver over
+    the links near the hits: only nodes that pay can be taken, and those are hits or bring hits, so the
+    links among hits, nodes with parts, and their parts are all that can matter. More than ``most_links``
+    of them are refused.
+    """
+    scored = [(r["node"], float(r["score"])) for r in hits.groupBy("node").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "node").limit(most_links).collect()]
+    top = max((s for _, s in scored), default=0.0) or 1.0
+    prizes = {n: s / top for n, s in scored}
+    near = hits.select("node")
+    parts: dict[str, list[str]] = defaultdict(list)
+    if whole is not None:
+        near = near.union(whole.select("node")).union(whole.select("part"))
+        for r in whole.orderBy("node", "part").limit(most_links).collect():
+            parts[r["node"]].append(r["part"])
+    pairs = [(r["src"], r["dst"]) for r in among(links, near.distinct()).select("src", "dst").limit(most_links + 1).collect()]
+    if len(pairs) > most_links:
+        raise ValueError(f"more than {most_links} links near the hits; rank fewer")
+    nodes, _, _ = grow(prizes, pairs, cost, limit, {k: tuple(v) for k, v in parts.items()})
+    return links.sparkSession.createDataFrame([(n, prizes.get(n, 0.0)) for n in nodes], "node string, prize double")

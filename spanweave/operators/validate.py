@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,3 +154,65 @@ def critique(nodes: DataFrame, onto: Ontology, name_field: str = "name", least_q
 def repairable(findings: DataFrame) -> DataFrame:
     """Findings that reading the source again could mend."""
     return findings.where(F.col("finding").isin("unnamed", "thin", "ungrounded"))
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What holds for every node of a class, or else is a finding of a severity (violation or warning).
+
+    ``path``: a link's predicate, or a field's name with ``field``. Counts, the class at the far end, the
+    least length of a field's value, and ``closed``: no fields but the declared.
+    """
+
+    target: str
+    path: str = ""
+    field: bool = False
+    at_least: int = 0
+    at_most: int | None = None
+    cls: str = ""
+    min_length: int = 0
+    closed: bool = False
+    severity: str = "violation"
+
+
+def shape_findings(nodes: DataFrame, links: DataFrame, shapes: list[Shape], onto: Ontology, context: DataFrame | None = None) -> DataFrame:
+    """(id, finding, path, severity): minCount, maxCount, class, minLength, closed.
+
+    ``context``: nodes (id, type) that are stored already; links may end there, but they are not judged.
+    """
+    ends = nodes.select("id", "type")
+    ends = ends.unionByName(context.select("id", "type")).dropDuplicates(["id"]) if context is not None else ends
+    out = [nodes.select("id", F.lit("").alias("finding"), F.lit("").alias("path"), F.lit("").alias("severity")).where("false")]
+    for s in shapes:
+        mine = nodes.where(F.col("type").isin(*sorted(onto.subclasses_of(s.target))))
+        found = lambda d, what: out.append(d.select("id", F.lit(what).alias("finding"), F.lit(s.path).alias("path"), F.lit(s.severity).alias("severity")))  # noqa: E731, B023
+        if s.closed:
+            rows = [(c, f) for c in onto.subclasses_of(s.target) for f in onto.declared_fields(c)]
+            declared = mine.sparkSession.createDataFrame(rows, "type string, field string")
+            found(undeclared_fields(mine, declared).select("id").distinct(), "closed")
+        if s.field:
+            value = F.coalesce(F.try_element_at("fields", F.lit(s.path)), F.lit(""))
+            if s.at_least:
+                found(mine.where(value == ""), "minCount")
+            if s.min_length:
+                found(mine.where((value != "") & (F.length(value) < s.min_length)), "minLength")
+        elif s.path:
+            over = links.where(F.col("predicate").isin(*onto.widen([s.path])))
+            if s.at_least or s.at_most is not None:
+                n = mine.select("id").join(over.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+                found(n.where(F.col("n") < s.at_least), "minCount")
+                if s.at_most is not None:
+                    found(n.where(F.col("n") > s.at_most), "maxCount")
+            if s.cls:
+                far = over.join(mine.select(F.col("id").alias("src")), "src", "left_semi").join(ends.select(F.col("id").alias("dst"), "type"), "dst", "left")
+                found(far.where(~F.coalesce(F.col("type").isin(*sorted(onto.subclasses_of(s.cls))), F.lit(False))).select(F.col("src").alias("id")).distinct(), "class")
+    return reduce(DataFrame.unionByName, out)
+
+
+def shacl_validate(nodes: DataFrame, links: DataFrame, shapes: list[Shape], onto: Ontology, context: DataFrame | None = None) -> dict[str, DataFrame]:
+    """findings, and the nodes and links that stay: a violation takes its node and all links that touch it."""
+    findings = materialize(shape_findings(nodes, links, shapes, onto, context), "shapes")
+    refused = findings.where("severity = 'violation'").select("id").distinct()
+    kept = nodes.join(refused, "id", "left_anti")
+    stay = links.join(refused.select(F.col("id").alias("src")), "src", "left_anti").join(refused.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return {"findings": findings, "nodes": kept, "links": stay.select(links.columns)}

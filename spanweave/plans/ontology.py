@@ -140,3 +140,35 @@ def _below(start: set, steps: set) -> set:
         new = {b for a, b in steps if a in new} - out
         out |= new
     return out
+
+
+def inspect(onto: Ontology, budget: int = 2000, profile: str = "") -> tuple[list[tuple[str, str, str]], list[str]]:
+    """The formal gate: (problems as (kind, term, detail), what was left unchecked).
+
+    Beyond ``budget`` classes nothing is looked for, and all is unchecked. cycle: a class below itself by
+    told axioms; unknown: a parent, domain or range that is no class; disjoint: a class disjoint with
+    itself or one above it; inverse: an inverse whose domain and range do not cross over; unsatisfiable:
+    the EL engine finds that nothing can be one; outside-profile: axioms that ``profile`` does not have.
+    """
+    if len(onto.classes) > budget:
+        return [], ["hierarchy", "disjointness", "relations", "inverses", "engine"]
+    found: list[tuple[str, str, str]] = []
+    for name in sorted(onto.classes):
+        above = _below({b for a, b in onto.subclasses if a == name}, set(onto.subclasses))
+        if name in above:
+            found.append(("cycle", name, "lies below itself"))
+        if any({a, b} <= above | {name} for a, b in onto.disjoint):
+            found.append(("disjoint", name, "lies under two disjoint classes"))
+    for kind, pairs in (("parent", onto.subclasses), ("domain", onto.domains), ("range", onto.ranges)):
+        found += [("unknown", x, f"{kind} {y}") for x, y in sorted(pairs) if y not in onto.classes and y != "Thing"]
+    of = lambda axioms, p: {c for q, c in axioms if q == p}
+    for p, q in sorted(onto.inverses):
+        for x, y in ((p, q), (q, p)):
+            near, far = of(onto.domains, x), of(onto.ranges, y)
+            if near and far and not any(onto.subclasses_of(a) & onto.subclasses_of(b) for a in near for b in far):
+                found.append(("inverse", x, f"its domain and the range of {y} have no class in common"))
+    named = {term for _, term, _ in found}
+    found += [("unsatisfiable", n, "the EL engine derives that nothing can be one") for n in sorted(onto.classify()[1]) if n not in named]
+    if profile:
+        found += [("outside-profile", profile, kind) for kind in onto.outside(profile)]
+    return found, []

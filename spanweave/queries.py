@@ -615,3 +615,44 @@ def expand_entailed(spark, sf):
     seeds = nodes(spark, sf, ("customer", "nation")).select(F.col("id").alias("node"))
     found = bundle.expand_entailed(told, seeds, made, depth=1, limit=10**9)
     return found.links.agg(F.count("*").alias("links"), F.count_if("derived").alias("derived"))
+
+
+PART = NodeMap("Part", "p_partkey", {"name": "p_name", "brand": "p_brand"})
+
+
+@query(f"SELECT {_id('Part', 'p_partkey')} AS id, p_name AS name, p_brand AS brand FROM part")
+def map_parts(spark, sf):
+    return map_nodes(load(spark, sf, "part"), PART).select("id", F.col("fields")["name"].alias("name"), F.col("fields")["brand"].alias("brand"))
+
+
+_LINES = f"(SELECT DISTINCT {_id('Order', 'l_orderkey')} AS src, 'ordered_part' AS predicate, {_id('Part', 'l_partkey')} AS dst FROM lineitem UNION SELECT DISTINCT {_id('Part', 'l_partkey')}, 'supplied_by', {_id('Supplier', 'l_suppkey')} FROM lineitem)"
+
+
+def _lines(spark, sf):
+    rows = load(spark, sf, "lineitem")
+    part = NodeMap("Part", "l_partkey")
+    return union([map_links(rows, LinkMap("ordered_part", NodeMap("Order", "l_orderkey"), part)), map_links(rows, LinkMap("supplied_by", part, NodeMap("Supplier", "l_suppkey")))])
+
+
+@query(f"SELECT substr(sha256(concat_ws(chr(0), src, predicate, dst)), 1, 16) AS id, predicate, src, dst FROM {_LINES}")
+def map_lineitems(spark, sf):
+    return _lines(spark, sf)
+
+
+@query(f"WITH l AS (SELECT * FROM {_LINES}) SELECT DISTINCT a.src AS o, b.dst AS s FROM l a JOIN l b ON a.dst = b.src WHERE a.predicate = 'ordered_part' AND b.predicate = 'supplied_by'")
+def cq_supplier_of_order(spark, sf):
+    empty = nodes(spark, sf, ("region",)).where("false")
+    return conjunctive.answer("q(?o, ?s) :- ordered_part(?o, ?p), supplied_by(?p, ?s)", empty, _lines(spark, sf), ONTOLOGY)
+
+
+@query(f"WITH o AS (SELECT {_id('Order', 'o_orderkey')} AS id, * FROM orders), n AS (SELECT o.id, count(l.dst) AS n FROM o LEFT JOIN {_LINES} l ON l.src = o.id AND l.predicate = 'ordered_part' GROUP BY o.id) SELECT id, 'minCount' AS finding, 'violation' AS severity FROM n WHERE n < 2 UNION ALL SELECT id, 'maxCount', 'violation' FROM n WHERE n > 6 UNION ALL SELECT id, 'minLength', 'warning' FROM o WHERE length(o_orderpriority) < 6")
+def shacl_shapes(spark, sf):
+    shapes = [validate.Shape("Order", "ordered_part", at_least=2, at_most=6), validate.Shape("Order", "priority", field=True, min_length=6, severity="warning")]
+    return validate.shape_findings(nodes(spark, sf, ("orders",)), _lines(spark, sf), shapes, ONTOLOGY).select("id", "finding", "severity")
+
+
+@query(f"WITH o AS (SELECT {_id('Order', 'o_orderkey')} AS id FROM orders), n AS (SELECT o.id, count(l.dst) AS n FROM o LEFT JOIN {_LINES} l ON l.src = o.id AND l.predicate = 'ordered_part' GROUP BY o.id) SELECT src, dst FROM {_LINES} WHERE predicate = 'ordered_part' AND src NOT IN (SELECT id FROM n WHERE n < 2 OR n > 6)")
+def shacl_kept(spark, sf):
+    shapes = [validate.Shape("Order", "ordered_part", at_least=2, at_most=6)]
+    ordered = _lines(spark, sf).where("predicate = 'ordered_part'")
+    return validate.shacl_validate(nodes(spark, sf, ("orders",)), ordered, shapes, ONTOLOGY)["links"].select("src", "dst")

@@ -208,3 +208,49 @@ def from_markdown(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = read.withColumn("parts", F.when(whole, F.col("parts")).otherwise(F.raise_error(F.concat(F.lit("the rendering was changed: "), "id")).cast("array<struct<number:string,text:string>>")))
     segments = checked.select(F.col("id").alias("source_id"), F.explode("parts").alias("p")).select("source_id", F.col("p.number").cast("int").alias("number"), "p.text")
     return read.select("id", "origin", F.create_map().cast("map<string,string>").alias("meta"), "text_hash"), segments
+
+
+def federate(spark: SparkSession, registries: dict[str, Store], versions: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """One log of what several stores hold, each record checked against its own store's sources.
+
+    assertions: those that hold, as they are, with ``registry``; held: registry, id, target_id, reason of
+    the others; origins: target_id, registries; sources: the first registry's of each id, by name. In this
+    order a record is held: its source was not published, a span's segment is not there, a span no longer
+    cuts its text, its schema version is not among ``versions`` (none: all are).
+    """
+    logs, spans, sources, segments = [], [], [], []
+    for name, held in sorted(registries.items()):
+        tag = F.lit(name).alias("registry")
+        log_ = held.read("assertions").select(tag, "*")
+        logs.append(log_)
+        sources.append(held.sources().select(tag, "id", "origin", "meta", "text_hash"))
+        segments.append(held.segments().select(tag, "*"))
+    whole, known, text = (_union(parts) for parts in (logs, sources, segments))
+    target = whole.select("registry", "id", "target_id", F.coalesce("node.spans", "link.spans").alias("spans"), F.coalesce("node.schema_version", "link.schema_version").alias("version"))
+    spans = target.select("registry", "id", "version", F.explode_outer("spans").alias("s")).select("registry", "id", "version", "s.*")
+    have = known.select("registry", F.col("id").alias("source_id"), F.lit(True).alias("there"))
+    at = text.select("registry", "source_id", F.col("number").alias("segment"), F.col("text").alias("whole"))
+    seen = spans.join(have, ["registry", "source_id"], "left").join(at, ["registry", "source_id", "segment"], "left")
+    cut = F.expr("substr(whole, start + 1, end - start)") == F.col("text")
+    why = lambda n, text, *of: F.struct(F.lit(n).alias("n"), F.format_string(text, *of).alias("why"))
+    spanned = F.col("source_id").isNotNull()
+    reason = (
+        F.when(spanned & F.col("there").isNull(), why(1, "the registry published no source '%s' for it to stand on", "source_id"))
+        .when(spanned & F.col("whole").isNull(), why(2, "segment %d is not in '%s'", "segment", "source_id"))
+        .when(spanned & ~cut, why(3, "evidence at %d:%d-%d no longer cuts its own text out of the source", "segment", "start", "end"))
+    )
+    if versions:
+        reason = reason.when(~F.coalesce(F.col("version").isin(*versions), F.lit(False)), why(4, "written under schema '%s', which is unmapped here", "version"))
+    bad = seen.select("registry", "id", reason.alias("r")).where("r IS NOT NULL").groupBy("registry", "id").agg(F.min("r").alias("r"))
+    held = whole.select("registry", "id", "target_id").join(bad, ["registry", "id"]).select("registry", "id", "target_id", F.col("r.why").alias("reason"))
+    good = whole.join(bad.select("registry", "id"), ["registry", "id"], "left_anti")
+    origins = good.groupBy("target_id").agg(F.array_sort(F.collect_set("registry")).alias("registries"))
+    first = known.groupBy("id").agg(F.min_by(F.struct("origin", "meta", "text_hash"), "registry").alias("s")).select("id", "s.*")
+    return {"assertions": good, "held": held, "origins": origins, "sources": first}
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

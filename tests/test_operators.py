@@ -11,7 +11,7 @@ from spanweave.functions.text import fold, keep_cited, normalise, tokens
 from spanweave.operators import bundle, evidence, graph, log, rank, validate
 from spanweave.operators.mapping import NodeMap, map_nodes, unmapped
 from spanweave.plans import conjunctive, plan, reason
-from spanweave.plans.ontology import Ontology
+from spanweave.plans.ontology import Ontology, inspect
 from spanweave.queries import QUERIES
 from spanweave.sources.readers import cell_offsets, cut, ingest_table, ingest_text, read_log, render, triples, write_log
 from spanweave.streaming.log import follow_log, projected
@@ -102,7 +102,38 @@ def test_two_cliques_part_at_the_bridge():
     pairs = [*itertools.combinations("abc", 2), *itertools.combinations("def", 2), ("c", "d")]
     got = graph.partition(pairs)
     assert len({got[n] for n in "abc"}) == len({got[n] for n in "def"}) == 1 and got["a"] != got["d"]
-    assert graph.grow({"b": 0.9, "c": 0.1}, [("a", "b"), ("b", "c")], "a", cost=0.25) == ["a", "b"]
+
+
+def test_growth_takes_what_pays(spark):
+    pairs = [("a", "b"), ("b", "c"), ("a", "x"), ("x", "y")]
+    assert graph.grow({"a": 1.0, "b": 0.9, "c": 0.1}, pairs, 0.25) == (["a", "b"], 1.9, 0.25)
+    assert graph.grow({"a": 1.0, "y": 0.9}, pairs, 0.25, whole={"x": ("y",)})[0] == ["a", "x", "y"]
+    assert graph.grow({"a": 1.0, "b": 0.9, "c": 0.8}, pairs, 0.25, limit=2)[0] == ["a", "b"]
+    ls = links(spark, [(a, "r", b) for a, b in pairs])
+    hits = spark.createDataFrame([("a", 2.0), ("b", 1.8), ("y", 1.0)], "node string, score double")
+    assert {r.node: r.prize for r in graph.select_subgraph(ls, hits).collect()} == {"a": 1.0, "b": 0.9}
+    parts = spark.createDataFrame([("x", "y")], "node string, part string")
+    assert {r.node for r in graph.select_subgraph(ls, hits, whole=parts).collect()} == {"a", "b", "x", "y"}
+
+
+def test_shapes_refuse_and_warn(spark):
+    onto = Ontology(classes=frozenset({"P", "Q", "R"}), subclasses=frozenset({("R", "Q")}), fields=frozenset({("P", "name")}))
+    nodes = spark.createDataFrame([("a", "P", {"name": "ann"}), ("b", "P", {"name": "x", "odd": "1"}), ("c", "R", {}), ("d", "P", {})], "id string, type string, fields map<string,string>")
+    ls = links(spark, [("a", "r", "c"), ("a", "r", "old"), ("b", "r", "d"), ("d", "s", "a")])
+    shapes = [validate.Shape("P", "r", at_least=1, at_most=2, cls="Q"), validate.Shape("P", "name", field=True, at_least=1, severity="warning"), validate.Shape("P", "name", field=True, min_length=2, severity="warning"), validate.Shape("P", closed=True)]
+    out = validate.shacl_validate(nodes, ls, shapes, onto, spark.createDataFrame([("old", "Q")], "id string, type string"))
+    assert {(r.id, r.finding, r.severity) for r in out["findings"].collect()} == {("b", "class", "violation"), ("b", "closed", "violation"), ("b", "minLength", "warning"), ("d", "minCount", "violation"), ("d", "minCount", "warning")}
+    assert {r.id for r in out["nodes"].collect()} == {"a", "c"} and {r.dst for r in out["links"].collect()} == {"c", "old"}
+
+
+def test_formal_gate():
+    wrong = Ontology(
+        classes=frozenset("ABCDE"), subclasses=frozenset({("A", "B"), ("B", "A"), ("C", "Z"), ("D", "A"), ("D", "E")}), disjoint=frozenset({("A", "E")}),
+        domains=frozenset({("p", "A"), ("q", "A")}), ranges=frozenset({("p", "E"), ("q", "C")}), inverses=frozenset({("p", "q")}), chains=frozenset({(("p", "p"), "p")}),
+    )
+    found, left = inspect(wrong, profile="QL")
+    assert left == [] and {(k, t) for k, t, _ in found} >= {("cycle", "A"), ("cycle", "B"), ("unknown", "C"), ("disjoint", "D"), ("inverse", "p"), ("outside-profile", "QL")}
+    assert inspect(Ontology(classes=frozenset("AB"), subclasses=frozenset({("A", "B")}))) == ([], []) and inspect(wrong, budget=2)[1]
 
 
 def test_expand_pulls_in_objections(spark):

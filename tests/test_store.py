@@ -158,3 +158,18 @@ def test_chains_of_steps(spark, tmp_path, capsys):
     with pytest.raises(ValueError, match="registered already"):
         pipeline.register("retrieve")(lambda s, o: {})
     assert pipeline.main(["steps"]) == 0 and "execute_plan" in capsys.readouterr().out
+
+
+def test_federation_keeps_what_holds(spark, segments):
+    span = lambda start, text: [("s", 2, start, start + len(text), text)]
+    shape = f"id string, type string, spans array<{store.SPAN}>, schema_version string"
+    stores = {}
+    for name, rows in {"one": [("n", "P", span(2, "second"), "v1"), ("m", "P", span(2, "second"), "v9")], "two": [("n", "P", span(2, "second"), "v1"), ("k", "P", span(3, "second"), "v1")]}.items():
+        stores[name] = held = store.MemoryStore(spark)
+        held.add_sources(spark.createDataFrame([("s", name, {})], "id string, origin string, meta map<string,string>"), segments)
+        held.assert_("2024-01-01", spark.createDataFrame(rows, shape), label=name)
+    stores["two"].append("assertions", stores["one"].read("assertions").selectExpr("seq + 100 AS seq", "'lost' AS id", "agent", "at", "kind", "'lost' AS target_id", "supersedes", "confidence", "named_struct('type', 'P', 'fields', node.fields, 'spans', array(named_struct('source_id', 'gone', 'segment', 1, 'start', 0, 'end', 1, 'text', 'x')), 'schema_version', 'v1') AS node", "link").limit(1))
+    got = store.federate(spark, stores, ("v1",))
+    assert {(r.registry, r.target_id): r.reason.split(" ")[0] for r in got["held"].collect()} == {("one", "m"): "written", ("two", "k"): "evidence", ("two", "lost"): "the"}
+    assert {r.target_id: r.registries for r in got["origins"].collect()} == {"n": ["one", "two"]}
+    assert got["assertions"].count() == 2 and [r.origin for r in got["sources"].collect()] == ["one"]
