@@ -46,6 +46,36 @@ def cell_offsets(columns: list[str]) -> list[Column]:
     return out
 
 
+def cell_span(columns: list[str], column: str | None, source_id: Column, number: Column) -> Column:
+    """The span of a cell in its row's rendering, or of the whole row without its line end."""
+    starts = dict(zip(columns, cell_offsets(columns)))
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text = value(column) if column else F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), value(c)) for c in columns])
+    start = starts[column] if column else F.lit(0)
+    return F.struct(source_id.cast("string").alias("source_id"), number.cast("int").alias("segment"), start.cast("int").alias("start"), (start + F.length(text)).cast("int").alias("end"), text.alias("text"))
+
+
+def ingest_pdf(spark: SparkSession, path: str) -> DataFrame:
+    """A segment a page: source_id, number, text, title, author. Needs a PDF library on the workers; none comes with this package."""
+
+    def read(rows):
+        import io
+
+        import pandas as pd
+        from pypdf import PdfReader
+
+        for batch in rows:
+            out = []
+            for source_id, content in zip(batch["source_id"], batch["content"]):
+                pdf = PdfReader(io.BytesIO(content))
+                told = pdf.metadata or {}
+                out += [(source_id, k, page.extract_text() or "", told.get("/Title"), told.get("/Author")) for k, page in enumerate(pdf.pages, 1)]
+            yield pd.DataFrame(out, columns=["source_id", "number", "text", "title", "author"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.substring(F.sha2("content", 256), 1, 12).alias("source_id"), "content")
+    return files.mapInPandas(read, "source_id string, number int, text string, title string, author string").where(F.trim("text") != "")
+
+
 def ingest_table(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """The rows of a delimited file with their rendering in column ``rendered``."""
     rows = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, inferSchema=False)

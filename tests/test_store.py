@@ -173,3 +173,53 @@ def test_federation_keeps_what_holds(spark, segments):
     assert {(r.registry, r.target_id): r.reason.split(" ")[0] for r in got["held"].collect()} == {("one", "m"): "written", ("two", "k"): "evidence", ("two", "lost"): "the"}
     assert {r.target_id: r.registries for r in got["origins"].collect()} == {"n": ["one", "two"]}
     assert got["assertions"].count() == 2 and [r.origin for r in got["sources"].collect()] == ["one"]
+
+
+def _model(prompts):
+    return ['so: {"statements": [{"type": "P", "fields": {"name": "x"}, "quote": "' + p.split("\n")[-1][:6] + '"}]} end' if "Types" in p else "0.25" if "number" in p else "overview" if "overview or fact" in p else "A word." for p in prompts]
+
+
+def test_models_take_part_at_seams(spark, segments):
+    from spanweave import models
+
+    onto = Ontology(classes=frozenset({"P"}))
+    one = segments.where("number = 2")
+    state = {"spark": spark, "segments": one, "model": _model, "schema": onto, "question": "what?", "version": ""}
+    made = pipeline.get("extract_llm").run(state, models.PromptOptions())
+    nodes, lost = locate.relocate(made["statements"], one)
+    assert [(r.type, r.spans[0].text) for r in nodes.collect()] == [("P", "A seco")] and lost.count() == 0
+    assert pipeline.get("route").run(state, models.PromptOptions())["overview"]
+    hits = spark.createDataFrame([(nodes.first().id, 1.0)], "node string, score double")
+    assert pipeline.get("salience_llm").run(state | {"hits": hits, "nodes": nodes}, models.PromptOptions())["hits"].first().score == 0.25
+    found = spark.createDataFrame([("t", "label", ""), ("u", "other", "told")], "term string, label string, definition string")
+    assert [r.definition for r in pipeline.get("define_llm").run(state | {"candidates": found}, models.PromptOptions())["candidates"].orderBy("term").collect()] == ["A word.", "told"]
+    bad = spark.createDataFrame([("no object",), (None,)], "r string").select(models.parsed(F.col("r"), "statements", "array<string>").alias("x"))
+    assert [r.x for r in bad.collect()] == [[], []]
+
+
+def test_rows_are_evidence(spark):
+    from spanweave.operators.mapping import LinkMap, NodeMap, map_links, map_nodes
+    from spanweave.sources.readers import cell_span, render
+
+    rows = spark.createDataFrame([(1, "ann", "rome"), (2, "ann", "oslo"), (3, None, "oslo"), (4, "ann", "rome")], "n int, who string, place string")
+    columns = ["who", "place"]
+    text = {r.n: r.t for r in rows.select("n", render(columns).alias("t")).collect()}
+    span = lambda c: cell_span(columns, c, F.lit("src"), F.col("n"))
+    who, place = NodeMap("P", "who"), NodeMap("T", "place")
+    nodes = map_nodes(rows, place, "n", span("place")).collect()
+    links = map_links(rows, LinkMap("in", who, place), span(None)).collect()
+    assert {(r.key, r.spans[0].segment) for r in nodes} == {("rome", 1), ("oslo", 2)} and sorted(len(r.spans) for r in links) == [1, 2]
+    assert all(text[s.segment][s.start : s.end] == s.text for r in nodes + links for s in r.spans)
+
+
+def test_projection_is_refreshed_by_batch(spark):
+    from spanweave.operators import log
+    from spanweave.streaming.log import refresh
+
+    rng = random.Random(3)
+    rows = [(k, f"a{k}", f"2024-01-{rng.randint(10, 28)}", f"t{rng.randint(0, 12)}", f"a{rng.randint(0, k)}" if k and rng.random() < 0.3 else None) for k in range(60)]
+    make = lambda part: spark.createDataFrame(part, "seq long, id string, at string, target_id string, supersedes string")
+    state = log.current(make(rows[:20]))
+    for lo in (20, 40):
+        state = spark.createDataFrame(refresh(state, make(rows[: lo + 20]), make(rows[lo : lo + 20])).collect(), state.schema)
+        assert sorted(map(str, state.collect())) == sorted(map(str, log.current(make(rows[: lo + 20])).select(state.columns).collect()))
