@@ -20,17 +20,17 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "src", right: str = "dst", rows: int | None = None) -> DataFrame:
     """(node, component) for every node of an edge, the component named by its smallest node.
 
     Self links and repeated links are fine; links with a null end are ignored. Nodes that are not
     numbers are numbered once, so that rounds move 8 bytes a node. Rounds go on until nothing changes;
-    their number grows with the logarithm of the longest way.
+    their number grows with the logarithm of the longest way. ``rows``: about how many edges, if known.
     """
     a, b = F.col(left), F.col(right)
     ends = edges.where(a.isNotNull() & b.isNotNull()).select(a.alias("a"), b.alias("b"))
     if ends.schema["a"].dataType.simpleString() in ("bigint", "int"):
-        return _contract(ends)
+        return _contract(ends, rows)
     ends = materialize(ends.distinct(), "ends")
     nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
     numbered = materialize(nodes.withColumn("number", F.monotonically_increasing_id()), "numbered")
@@ -41,9 +41,10 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
     return named.join(least, "component").select("node", F.col("least").alias("component"))
 
 
-def _contract(ends: DataFrame) -> DataFrame:
+def _contract(ends: DataFrame, rows: int | None = None) -> DataFrame:
     everyone = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = materialize(everyone.distinct(), "links")
+    now = materialize(everyone.distinct(), "links", rows)
+    n = now.count()
     loops = now.where("u = v").select(F.col("u").alias("node"))
     now, before = now.where("u <> v"), None
     while True:
@@ -52,8 +53,9 @@ def _contract(ends: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(hung.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        now = materialize(hung.union(low.select("u", F.col("m").alias("v"))).distinct(), "links", n)
         state = _state(now)
+        n = state[0]
         if state == before:
             break
         before = state

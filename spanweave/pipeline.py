@@ -69,11 +69,18 @@ def register(name: str, requires: tuple[str, ...] = (), produces: tuple[str, ...
 
 
 def get(name: str) -> Step:
+    _load()
     if name not in STEPS:
         raise ValueError(f"unknown step '{name}'; there are {', '.join(sorted(STEPS))}")
     return STEPS[name]
 
 
+def _load() -> None:
+    """The package's other steps register themselves when they are first asked for."""
+    for module in ("spanweave.steps", "spanweave.models"):
+        importlib.import_module(module)
+
+
 def counts(state: State) -> dict[str, int]:
     """What a run left that can be counted: numbers as they are, collections and tables by their size."""
     out = {}
@@ -381,6 +388,7 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument(rest, nargs="*")
     args = parser.parse_args(argv)
     if args.command == "steps":
+        _load()
         for name, s in sorted(STEPS.items()):
             print(f"{name}: {', '.join(s.requires) or '-'} -> {', '.join(s.produces) or '-'}")
         return 0

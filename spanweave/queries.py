@@ -74,9 +74,16 @@ def query(sql: str | None = None):
     return add
 
 
-@query(WITH + "SELECT id, type, key FROM nodes")
+def _told(m: NodeMap) -> str:
+    """SQL of a row's fields as text, by name, blank ones left out."""
+    each = ", ".join(f"CASE WHEN trim({c}::VARCHAR) <> '' THEN '{k}=' || {c}::VARCHAR END" for k, c in sorted(m.fields.items()))
+    return f"array_to_string(list_filter([{each}], lambda x: x IS NOT NULL), '|')"
+
+
+@query(" UNION ALL ".join(f"SELECT {_id(m.type, m.key)} AS id, '{m.type}' AS type, {m.key}::VARCHAR AS key, {_told(m)} AS fields FROM {t}" for t, m in TABLES.items()))
 def map_nodes_all(spark, sf):
-    return nodes(spark, sf).select("id", "type", "key")
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return nodes(spark, sf).select("id", "type", "key", told.alias("fields"))
 
 
 @query(WITH + "SELECT id, predicate, src, dst FROM links")
@@ -129,9 +136,13 @@ def cq_path(spark, sf):
     return conjunctive.answer("q(?o, ?r) :- placed_by(?o, ?c), based_in(?c, ?n), in_region(?n, ?r)", nodes(spark, sf), links(spark, sf), ONTOLOGY)
 
 
-@query(f"SELECT 'Customer' AS first, 'Order' AS second, {_id('Customer', 'c_custkey')} AS node FROM customer WHERE false")
+@query(f"SELECT 'Customer' AS first, 'Supplier' AS second, {_id('Customer', 'c_custkey')} AS node FROM customer WHERE c_acctbal < 0 UNION SELECT 'Customer', 'Order', {_id('Order', 'o_orderkey')} FROM orders WHERE o_orderkey % 10 = 1")
 def cq_violations(spark, sf):
-    return conjunctive.violations(nodes(spark, sf), links(spark, sf), ONTOLOGY)
+    """Customers that supply, and orders that a customer's link makes customers."""
+    both = map_nodes(load(spark, sf, "customer").where("c_acctbal < 0"), CUSTOMER).withColumn("type", F.lit("Supplier"))
+    odd = load(spark, sf, "orders").where("o_orderkey % 10 = 1").select("o_orderkey", F.lit(1).alias("n"))
+    wrong = map_links(odd, LinkMap("based_in", ORDER, NodeMap("Nation", "n")))
+    return conjunctive.violations(nodes(spark, sf).unionByName(both), links(spark, sf).unionByName(wrong), ONTOLOGY)
 
 
 def _plan(spark, sf, *steps, tables=tuple(TABLES), predicates=tuple(LINKS), **options):
@@ -318,6 +329,16 @@ def rl_transitive(spark, sf):
     return reason.close(_facts(spark, sf), onto)[0].select("s", "p", "o")
 
 
+def _fact(s: str, p: str, o: str) -> str:
+    return f"substr(sha256(concat_ws(chr(0), {s}, {p}, {o})), 1, 16)"
+
+
+@query(f"WITH {_LOC} SELECT {_fact('s', repr('located_in'), 'o')} AS fact, 'prp-spo1' AS rule, {_fact('s', 'p', 'o')} AS premises FROM base UNION SELECT {_fact('a.s', repr('located_in'), 'b.o')}, 'prp-trp', array_to_string(list_sort([{_fact('a.s', repr('located_in'), 'a.o')}, {_fact('b.s', repr('located_in'), 'b.o')}]), ' ') FROM base a JOIN base b ON a.o = b.s")
+def rl_derivations(spark, sf):
+    onto = Ontology(subproperties=ONTOLOGY.subproperties, transitive=ONTOLOGY.transitive)
+    return reason.close(_facts(spark, sf), onto)[1].select("fact", "rule", F.concat_ws(" ", "premises").alias("premises"))
+
+
 @query(f"WITH {_LOC} SELECT s, p, o FROM base UNION SELECT s, 'type', CASE p WHEN 'in_region' THEN 'Nation' ELSE 'Customer' END FROM base UNION SELECT o, 'type', CASE p WHEN 'in_region' THEN 'Region' ELSE 'Nation' END FROM base UNION SELECT s, 'type', CASE p WHEN 'in_region' THEN 'Place' ELSE 'Party' END FROM base UNION SELECT o, 'type', 'Place' FROM base UNION SELECT s, 'located_in', o FROM base")
 def rl_domain_range(spark, sf):
     return reason.close(_facts(spark, sf), ONTOLOGY, rules=reason.RDFS)[0].select("s", "p", "o")
@@ -524,15 +545,17 @@ def segments_window(spark, sf):
     return cut(docs, "window", 500).select("source_id", F.col("number").cast("long").alias("number"), F.sha2("text", 256).alias("digest"))
 
 
-@query("SELECT n_nationkey, 'n_nationkey: ' || n_nationkey || ' | n_name: ' || n_name || chr(10) AS rendered FROM nation")
+@query("SELECT o_orderkey, 'o_orderkey: ' || o_orderkey || ' | o_orderpriority: ' || coalesce(o_orderpriority, '') || ' | o_clerk: ' || CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus ELSE '' END || chr(10) AS rendered FROM orders")
 def render_rows(spark, sf):
-    return load(spark, sf, "nation").select("n_nationkey", render(["n_nationkey", "n_name"]).alias("rendered"))
+    rows = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("o_clerk"))
+    return rows.select("o_orderkey", render(["o_orderkey", "o_orderpriority", "o_clerk"]).alias("rendered"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'a [known]' ELSE '' END AS kept FROM nation")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'made by [' || p_brand || '] and [nobody]' || chr(10) || 'kind [' || p_type || ']' WHEN p_size % 3 = 1 THEN 'made by [' || p_brand || '] and [nobody]' ELSE '' END AS kept FROM part")
 def answer_cited(spark, sf):
-    text = F.when(F.col("n_nationkey") % 2 == 0, F.lit("a [known]\nb [other]")).otherwise(F.lit("b [other]\nc"))
-    return load(spark, sf, "nation").select("n_nationkey", keep_cited(text, F.array(F.lit("known"))).alias("kept"))
+    said = F.concat(F.lit("made by ["), "p_brand", F.lit("] and [nobody]\nno source\nkind ["), "p_type", F.lit("]\n[other] says so"))
+    known = F.when(F.col("p_size") % 3 == 0, F.array("p_type", "p_brand")).when(F.col("p_size") % 3 == 1, F.array("p_brand")).otherwise(F.array(F.lit("none")))
+    return load(spark, sf, "part").select("p_partkey", keep_cited(said, known).alias("kept"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -51,12 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
+def materialize(df: DataFrame, label: str = "cut", rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
-    The files outlive lost executors, and later branches read them instead of computing again.
+    The files outlive lost executors, and later branches read them instead of computing again. ``rows``:
+    about how many there are at most, where that is known; then there is a file for each 250,000, and
+    eight at least, so that small tables do not fall into as many files as a shuffle has partitions.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "spanweave", f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    few = df if rows is None else df.coalesce(max(8, -(-rows // 250_000)))
+    few.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

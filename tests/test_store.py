@@ -223,3 +223,30 @@ def test_projection_is_refreshed_by_batch(spark):
     for lo in (20, 40):
         state = spark.createDataFrame(refresh(state, make(rows[: lo + 20]), make(rows[lo : lo + 20])).collect(), state.schema)
         assert sorted(map(str, state.collect())) == sorted(map(str, log.current(make(rows[: lo + 20])).select(state.columns).collect()))
+
+
+def test_steps_over_packages(spark, segments):
+    held = store.MemoryStore(spark)
+    held.add_sources(spark.createDataFrame([("s", "here", {})], "id string, origin string, meta map<string,string>"), segments)
+    span = lambda text: [("s", 2, TEXT[1][2].index(text), TEXT[1][2].index(text) + len(text), text)]
+    rows = [("c", "Claim", {"name": "it works"}, span("second")), ("p", "Result", {"name": "yes", "value": "1", "unit": "cm"}, span("trial")), ("q", "Result", {"name": "no", "value": "2", "unit": "in"}, span("badly")), ("k", "Context", {"temperature": "hot"}, span("feared")), ("l", "Context", {"temperature": "cold"}, span("ended"))]
+    nodes = spark.createDataFrame(rows, f"id string, type string, fields map<string,string>, spans array<{store.SPAN}>")
+    ls = spark.createDataFrame([("1", "supports", "p", "c"), ("2", "disputes", "q", "c"), ("3", "under", "p", "k"), ("4", "under", "q", "l")], "id string, predicate string, src string, dst string")
+    held.assert_("2024-01-01", nodes, ls, label="me")
+    onto = Ontology(classes=frozenset({"Claim", "Result", "Context"}), domains=frozenset({("supports", "Result"), ("disputes", "Result"), ("under", "Result")}))
+    state = {"spark": spark, "store": held, "schema": onto, "version": "v", "at": "now", "hits": spark.createDataFrame([("c", 1.0), ("p", 0.9)], "node string, score double"), "question": "works"}
+    go = lambda name, **o: state.update(pipeline.get(name).run(state, pipeline.get(name).configure(o)))
+    for name, options in [
+        ("index_nodes", {}), ("graph_expand", {"depth": 2, "opposes": ["disputes"], "supports": ["supports"]}), ("reconcile", {"conditions": ["under"]}), ("compare", {"type": "Result", "conditions": ["under"], "units": {"in:cm": 2.54}}),
+        ("select_paths", {}), ("select_subgraph", {}), ("communities", {}), ("topics", {}), ("formal_check", {}), ("entail", {}), ("graph_expand_entailed", {"depth": 1}), ("render_markdown", {}), ("federate", {"registries": {"a": held}}), ("count_independence", {}),
+    ]:
+        go(name, **options)
+    assert [(r.supporting, r.opposing, r.verdict, r.differing) for r in state["conflicts"].collect()] == [("p", "q", "conditions", "temperature")]
+    assert [(r.id, r.verdict, r.converted) for r in state["comparisons"].collect()] == [("q", "partial", pytest.approx(5.08))]
+    assert state["paths"].count() >= 1 and {r.node for r in state["selection"].collect()} == {"c", "p"} and state["problems"] == []
+    assert state["topics"].agg(F.sum("members")).first()[0] == 5 and state["pages"].count() == 1
+    assert tuple(state["independence"].first()) [:4] == (1, 1, 0, 4) and state["synced"].count() == 9
+    state["citations"] = spark.createDataFrame([("s#q",), ("x",)], "ref string")
+    state["bundle"] = pipeline.get("graph_expand").run(state, pipeline.get("graph_expand").configure({"opposes": ["disputes"], "supports": ["supports"]}))["bundle"]
+    go("check_answer")
+    assert [r.ref for r in state["review"]["unknown"].collect()] == ["x"] and state["review"]["omitted"] == ["supporting"]
