@@ -127,9 +127,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     a null doc_id. ``component``, the component's smallest fingerprint, is never null and its own.
     """
     rows = materialize(fingerprints(docs, shingle, seed), "simhash")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-simhash")
-    links = materialize(link_fingerprints(fps.select("fp"), radius, cell_rows), "simhash-links")
-    parts = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "fp"), "simhash-parts")
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-simhash", rows.count())
+    n = fps.count()
+    links = materialize(link_fingerprints(fps.select("fp"), radius, cell_rows), "simhash-links", n)
+    parts = materialize(connected_components(links, "a", "b", n).withColumnRenamed("node", "fp"), "simhash-parts", n)
     named = fps.join(parts, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     return rows.join(named.join(least, "component").select("fp", "component_id", "component"), "fp")
