@@ -109,29 +109,42 @@ def seeds(raw: np.ndarray, length: int, k: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - span)], h[width - span :])
 
 
+def _stretches(ends: np.ndarray, length: int, step: int = 262_144) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(begin, end, ends of texts in it) of stretches of about ``step`` bytes; a longer text is cut so that each
+    of its windows starts in one stretch."""
+    begins = np.concatenate([[0], ends[:-1]])
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + step, "right")))
+        base, top = int(begins[lo]), int(ends[hi - 1])
+        if top - base <= step:
+            yield base, top, ends[lo:hi] - base
+        else:
+            for b in range(base, top, step):
+                t = min(top, b + step + length - 1)
+                yield b, t, np.array([t - b])
+        lo = hi
+
+
 def runs(raw: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, windows, seed) of each run in texts laid end to end, none across two texts.
 
     ``ends``: where each text ends. Work goes in pieces that stay in the processor's cache.
     """
-    begins = np.concatenate([[0], ends[:-1]])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    lo = 0
-    while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + 262_144, "right")))
-        base, top = int(begins[lo]), int(ends[hi - 1])
+    for base, top, stops in _stretches(ends, length):
         if top - base >= length:
             s = seeds(raw[base:top], length, k)
             change = np.empty(len(s), bool)
             change[0] = True
             np.not_equal(s[1:], s[:-1], out=change[1:])
-            inner = begins[lo + 1 : hi] - base
-            change[inner[inner < len(s)]] = True
-            dead = np.maximum(ends[lo:hi] - base - length + 1, begins[lo:hi] - base)  # from here on windows would cross
+            starts = np.concatenate([[0], stops[:-1]])
+            change[starts[starts < len(s)]] = True
+            dead = np.maximum(stops - length + 1, starts)  # from here on windows would cross
             change[dead[dead < len(s)]] = True
             first = np.flatnonzero(change)
             size = np.diff(first, append=len(s))
-            text = np.searchsorted(ends[lo:hi] - base, first, "right")
+            text = np.searchsorted(stops, first, "right")
             live = first < dead[text]
             first, size = first[live], size[live]
             if size.size and size.max() > _RUN:
@@ -141,7 +154,6 @@ def runs(raw: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.nda
             key = s[first]
             key = (key ^ (key >> np.uint64(29))) * _ODD[1]
             out.append((first + base, size, (key ^ (key >> np.uint64(31))) * _ODD[2] >> np.uint64(64 - _BITS)))
-        lo = hi
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -466,7 +478,7 @@ def _blob_table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOBS)] if rows else [pa.array([], f.type) for f in _BLOBS], schema=_BLOBS)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 8 << 20, block_bytes: int = 1 << 20, crowded: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 4 << 20, block_bytes: int = 1 << 20, crowded: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay, joined), and the removed runs' starts and ends.
 
     ``shard_bytes``: text in a shard of documents; as many shards hold the seeds.

@@ -90,3 +90,18 @@ def test_runs_cover_each_window_once():
     covered = sorted(p + j for p, n in zip(first.tolist(), size.tolist()) for j in range(n))
     begins = np.concatenate([[0], ends[:-1]])
     assert covered == [p for b, e in zip(begins.tolist(), ends.tolist()) for p in range(b, e - 49)]
+
+
+def test_a_long_text_is_cut_into_stretches():
+    rng = np.random.default_rng(1)
+    texts = [b"abc" * 30, rng.integers(97, 123, 300_000, dtype=np.uint8).tobytes(), b"tail " * 20, rng.integers(97, 100, 524_288 + 49, dtype=np.uint8).tobytes()]
+    raw, ends = suffixes._laid(texts)
+    first, size, key = suffixes.runs(raw, ends, 50, Layout().k)
+    begins = np.concatenate([[0], ends[:-1]])
+    covered = np.concatenate([np.arange(p, p + n) for p, n in zip(first, size)])
+    assert np.array_equal(np.sort(covered), np.concatenate([np.arange(b, e - 49) for b, e in zip(begins, ends)]))
+    whole = np.concatenate([suffixes.seeds(raw[b:e], 50, Layout().k) for b, e in zip(begins, ends)])
+    spread = np.repeat(key, size)[np.argsort(covered, kind="stable")]
+    order = np.argsort(whole, kind="stable")  # equal seeds have equal keys, whatever the stretch
+    same = whole[order][1:] == whole[order][:-1]
+    assert (spread[order][1:][same] == spread[order][:-1][same]).all()
