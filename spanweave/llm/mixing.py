@@ -83,12 +83,13 @@ def plan_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
     """
     rows = materialize(_keyed(docs).select(_D, _S, _H, _N), "sizes")
     sizes = rows.groupBy(F.col(_S).alias("s")).agg(F.sum(_N).alias("size"))
-    aimed = materialize(targets(sizes, weights, share, cap), "targets")
+    aimed = materialize(targets(sizes, weights, share, cap), "targets", 1)
     total = aimed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     words = max(block_words, -(-total // max_blocks))
+    most = 3 * max_blocks  # rows of the tables of blocks and draws, but for one or two a source
     aimed = aimed.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("size") / words)).cast("long"))
     dealt = deal(rows, aimed, seed)
-    filled = materialize(dealt.groupBy("s", "block").agg(F.sum(_N).alias("words"), F.first("size").alias("size"), F.first("target").alias("target")), "blocks")
+    filled = materialize(dealt.groupBy("s", "block").agg(F.sum(_N).alias("words"), F.first("size").alias("size"), F.first("target").alias("target")), "blocks", most)
     order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "block"), "block")
     before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rounds = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("int")
@@ -101,6 +102,7 @@ def plan_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
             F.when((F.col("left") > 0) & (F.col("left") < F.col("words")), F.col("left")).alias("rest"),
         ),
         "block-plan",
+        most,
     )
     last = _same(dealt.select(_D, _S, _H, _N, "s", "block"), blocks.where("rest IS NOT NULL").select("s", "block", "rest"), ["s", "block"])
     each = last.groupBy(_D, _S, _H, "s", "block", "rest").agg(F.count("*").alias("copies"), F.sum(_N).alias("n"))
@@ -111,7 +113,7 @@ def plan_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
     again = F.explode(F.sequence(F.lit(1), F.col("rounds") + F.col("extra") + F.when(F.col("rest").isNotNull(), 1).otherwise(0)))
     drawn = blocks.where(F.col("rounds") + F.col("extra") + F.when(F.col("rest").isNotNull(), 1).otherwise(0) > 0).select("s", "block", "nth", again.alias("round"))
     by_turn = Window.partitionBy("s").orderBy("round", "nth")
-    numbered = materialize(drawn.withColumn("j", F.row_number().over(by_turn)), "draws")
+    numbered = materialize(drawn.withColumn("j", F.row_number().over(by_turn)), "draws", most)
     quotas = _split(numbered.select("s", "j"), shards, seed + 3)
     in_turn = quotas.select("s", "shard", F.row_number().over(Window.partitionBy("s").orderBy("shard", "j")).alias("j"))
     draws = _same(numbered, in_turn, ["s", "j"]).select("s", "block", "round", "shard")
@@ -146,7 +148,7 @@ def _first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n.cast("int")), "")
 
 
-def mix(docs: DataFrame, seed: int = 17, shards: int = 16, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, shards: int = 64, **options) -> DataFrame:
     """The mixed documents themselves: a row each time one is taken, columns as in ``docs``.
 
     Rows come shard by shard, as the splitting tree deals the blocks, and within a shard in the order of a
@@ -167,5 +169,5 @@ def mix(docs: DataFrame, seed: int = 17, shards: int = 16, **options) -> DataFra
     kept = cut.where(~last | F.col("cut").isNotNull())
     order = F.xxhash64(F.lit(seed + 4), _D, _H, "round")
     row = F.struct(*[made.get(c, of(c)).alias(c) for c in docs.columns]).alias(_ROW)
-    dealt = kept.select(row, F.col("shard").alias(_SHARD), order.alias(_ORDER)).repartition(shards, _SHARD).sortWithinPartitions(_SHARD, _ORDER)
+    dealt = kept.select(row, F.col("shard").alias(_SHARD), order.alias(_ORDER)).repartitionById(shards, F.col(_SHARD).cast("int")).sortWithinPartitions(_ORDER)
     return dealt.select(*[of(c).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ import numpy as np
 #: The files for which words alone are known to give a text's ids (fixed values).
 KNOWN = ("byte_bpe_50k.json", "word_bpe_49k.json")
 #: Bytes that one generation of the words of a kind may hold.
-GENERATION = 64 << 20
+GENERATION = 48 << 20
 #: Bytes of an entry besides its characters: two bytes objects' heads and its share of the table.
 _ENTRY = 2 * 33 + 110
 #: Longer words are not kept.
