@@ -8,7 +8,8 @@ A window is ``length`` bytes that start in a document. Every window's smallest d
   seeds' range, where those in two documents or more are found and sent back to the documents' shards.
 * Shards of suffixes. Document shards cut the runs of repeated seeds out of their texts, each distinct
   one once, with the smallest doc_id there. Runs of one seed meet in one shard, in blocks of at most
-  ``block_bytes``. Of each block a suffix array is made by Larsson-Sadakane refinement (sorted by 8 bytes,
+  ``block_bytes``. Runs none of whose windows has another's 64-bit hash are settled (most share only their
+  seed). Of each block of the rest a suffix array is made by Larsson-Sadakane refinement (sorted by 8 bytes,
   then groups that are still equal by the ranks that lie 8, 16, 32 ... bytes on), and Kasai's method
   gives common prefixes along each run: windows of equal bytes stand together, with their smallest
   doc_id. Blocks are merged by binary search: each block's distinct windows are looked up in the
@@ -17,7 +18,9 @@ A window is ``length`` bytes that start in a document. Every window's smallest d
 
 A seed in very many documents (``crowded``) would bring all their runs to one shard; its windows are cut
 anew by a second seed of 32 bytes. A passage that very many documents share is one run a document
-shard, whatever their number. Numbers of shards grow with the bytes. No pair of documents is ever made.
+shard, whatever their number. Numbers of shards grow with the bytes; each pair of a document shard and a
+shard of seeds exchanges blobs, so shards of seeds are larger where there are many. No pair of documents
+is ever made.
 
 A null text is empty. A null doc_id comes after all others. Rows that share a doc_id do not remove
 each other's bytes. Texts shorter than ``length`` stay. An empty table gives an empty result. Other
@@ -46,6 +49,9 @@ _BYTE = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 256, dtype=
 _BITS = 48
 #: Runs longer than this many windows (of periodic texts) are cut.
 _RUN = 64
+#: So many shards of seeds before they grow, and to how many times a document shard's text.
+_SEED_SHARDS, _SEED_GROWTH = 512, 4
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 @dataclass(frozen=True)
@@ -71,12 +77,12 @@ def pack(*columns: np.ndarray, data: bytes = b"") -> bytes:
     """Columns of one length, stored byte plane by byte plane, and more data, compressed."""
     head = struct.pack("<I", len(columns[0]))
     planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes) + data)
+    return _PACKER.compress(head + b"".join(planes) + data)
 
 
 def unpack(blob: bytes, *kinds: str) -> tuple:
     """What ``pack`` was given, as arrays of these types and the data."""
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = _UNPACKER.decompress(blob)
     (n,), at, out = struct.unpack_from("<I", raw), 4, []
     for kind in map(np.dtype, kinds):
         out.append(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n))
@@ -93,13 +99,19 @@ def _sums(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def seeds(raw: np.ndarray, length: int, k: int) -> np.ndarray:
-    """The smallest hash of the k-byte pieces of each window of ``length`` bytes."""
+def _doubled(raw: np.ndarray, most: int) -> tuple[np.ndarray, int]:
+    """Hashes of all pieces of a power of two of bytes, ``most`` and 32 at most, and that power."""
     h, span = _BYTE[raw], 1
     for odd in _ODD:
-        if span < k:
+        if 2 * span <= most:
             h = h[:-span] * odd + h[span:]
             span *= 2
+    return h, span
+
+
+def seeds(raw: np.ndarray, length: int, k: int) -> np.ndarray:
+    """The smallest hash of the k-byte pieces of each window of ``length`` bytes."""
+    h, _ = _doubled(raw, k)
     h ^= h >> np.uint64(32)
     h *= _ODD[0]
     width, span = length - k + 1, 1
@@ -386,6 +398,32 @@ def _blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
+def paired(texts: list[bytes], length: int) -> np.ndarray:
+    """Whether a run has a window whose hash is found at another place too; without one, none of its windows is."""
+    hashes, windows = [], np.array([len(t) - length + 1 for t in texts], np.int64)
+    ends = np.cumsum(windows)
+    for a, b in _blocks((windows + length - 1).tolist(), 1 << 18):
+        raw = np.frombuffer(b"".join(texts[a:b]), np.uint8)
+        h, span = _doubled(raw, length)
+        if span < length:  # its last bytes too
+            h = h[: span - length] * _ODD[0] + h[length - span :]
+        sizes = windows[a:b] + length - 1
+        hashes.append(h[_spread(np.cumsum(sizes) - sizes, windows[a:b])])
+    every = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    ranked = np.sort(every)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if not len(twice):
+        return np.zeros(len(texts), bool)
+    hit = twice[np.minimum(np.searchsorted(twice, every), len(twice) - 1)] == every
+    found = np.append(0, np.cumsum(hit))
+    return found[ends] > found[ends - windows]
+
+
+def seed_shards(total: int, shard_bytes: int) -> int:
+    """How many shards hold the seeds of ``total`` bytes: as many as document shards, up to a number; then they grow."""
+    return max(1, min(-(-total // shard_bytes), _SEED_SHARDS), -(-total // (shard_bytes * _SEED_GROWTH)))
+
+
 def least_owners(blobs: list[tuple[int, bytes]], lay: Layout) -> Iterator[tuple[int, int, bytes]]:
     """Merges a shard's runs; (document shard, bytes of blob) tell each run's smallest owners, in turn.
 
@@ -408,6 +446,7 @@ def least_owners(blobs: list[tuple[int, bytes]], lay: Layout) -> Iterator[tuple[
     order = np.argsort(key, kind="stable")
     alike = key[order][1:] == key[order][:-1]
     shared = order[np.append(alike, False) | np.append(False, alike)]  # a run alone with its seed is settled
+    shared = shared[paired([texts[i] for i in shared.tolist()], lay.length)]  # and one without equal windows
     blocks: list[tuple[np.ndarray, Block]] = []
     for a, b in _blocks((windows[shared] + lay.length - 1).tolist(), lay.block_bytes):
         block = Block([texts[i] for i in shared[a:b].tolist()], owner[shared[a:b]], lay.length)
@@ -481,12 +520,14 @@ def _blob_table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 4 << 20, block_bytes: int = 1 << 20, crowded: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that stay, joined), and the removed runs' starts and ends.
 
-    ``shard_bytes``: text in a shard of documents; as many shards hold the seeds.
+    ``shard_bytes``: text in a shard of documents. As many shards hold the seeds, fewer and larger ones where
+    that would be over 512 (``seed_shards``).
     """
     slim = row_columns(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), whole_text().alias("text"))
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    lay = Layout(length=length, crowded=crowded, shards=max(1, -(-total // shard_bytes)), block_bytes=block_bytes)
-    texts = slim.select("d", F.encode("text", "UTF-8").alias("raw"), F.pmod(F.xxhash64("d", "text"), F.lit(lay.shards)).cast("int").alias("shard"))
+    lay = Layout(length=length, crowded=crowded, shards=seed_shards(total, shard_bytes), block_bytes=block_bytes)
+    homes = max(1, -(-total // shard_bytes))
+    texts = slim.select("d", F.encode("text", "UTF-8").alias("raw"), F.pmod(F.xxhash64("d", "text"), F.lit(homes)).cast("int").alias("shard"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

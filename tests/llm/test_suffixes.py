@@ -105,3 +105,42 @@ def test_a_long_text_is_cut_into_stretches():
     order = np.argsort(whole, kind="stable")  # equal seeds have equal keys, whatever the stretch
     same = whole[order][1:] == whole[order][:-1]
     assert (spread[order][1:][same] == spread[order][:-1][same]).all()
+
+
+def test_runs_that_share_only_their_seed_get_no_suffix_array(monkeypatch):
+    rng = np.random.default_rng(3)
+    lay, texts, same = Layout(), [], rng.integers(97, 123, 70, dtype=np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 60, dtype=np.uint8).tobytes() for _ in range(40)] + [same[:60], same[10:]]
+    blobs = []
+    for home, text in enumerate(texts):  # all with one seed
+        blobs.append((home, suffixes.pack(np.array([7], np.uint64), np.array([len(text) - 49], np.uint8), np.array([home], np.int64), data=text)))
+    held = []
+    monkeypatch.setattr(suffixes, "Block", lambda t, *rest: held.extend(t) or Block(t, *rest))
+    got = {home: (suffixes.unpack(n, "u1")[0].tolist(), *[c.tolist() for c in suffixes.unpack(b, "u1", "<i8")[:2]]) for home, n, b in suffixes.least_owners(blobs, lay)}
+    assert held == texts[40:]
+    assert all(got[home] == ([1], [11], [home]) for home in range(41)) and got[41] == ([2], [1, 10], [40, 41])
+
+
+def test_paired_finds_each_run_with_an_equal_window():
+    rng = random.Random(2)
+    for length in (50, 64, 90):
+        texts = list({bytes(rng.choice(b"ab") for _ in range(rng.randint(length, length + 60))) for _ in range(60)})
+        texts += [t[5:length] + bytes(9) + t[: length + 1] for t in texts[:20]]
+        count = {}
+        for t in texts:
+            for p in range(len(t) - length + 1):
+                count[t[p : p + length]] = count.get(t[p : p + length], 0) + 1
+        want = [any(count[t[p : p + length]] > 1 for p in range(len(t) - length + 1)) for t in texts]
+        got = suffixes.paired(texts, length).tolist()
+        assert all(g or not w for g, w in zip(got, want)) and any(want) and (length > 64 or got == want)
+    assert suffixes.paired([], 50).tolist() == []
+
+
+def test_shards_of_seeds_grow_where_there_are_many(spark, monkeypatch):
+    assert [suffixes.seed_shards(n << 20, 4 << 20) for n in (0, 1, 864, 2048, 9700, 40_000)] == [1, 1, 216, 512, 607, 2500]
+    monkeypatch.setattr(suffixes, "_SEED_SHARDS", 3)
+    rows = corpus(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_bytes, bytes(r.kept), list(r.starts), list(r.ends)) for r in suffixes.remove_repeats(docs, shard_bytes=1000).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r)
+    assert sorted(got, key=order) == sorted(brute(rows, 50), key=order)
