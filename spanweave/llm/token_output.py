@@ -173,7 +173,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str | N
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64()), "low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64())})
 
-    listed = materialize(slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, _FILES), "id-files")
+    made = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, _FILES)
+    # dealt by part, so that a task that runs again replaces its own row; few tasks write, since for each local file
+    # that Spark makes the JVM may start helper processes, which have its whole memory until they run
+    listed = materialize(made.repartition(8, "part"), "id-files", n)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return listed.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")).drop("part")
 

@@ -10,6 +10,7 @@ import xxhash
 
 from spanweave.llm import line_dedup, mixing, packing, pseudonyms, quality, simhash, sketches, token_output, toxicity
 from spanweave.llm.tokens import Encoder
+from spanweave.session import materialize
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, source string, n_chars long, key string, fp long, h long"
@@ -386,6 +387,17 @@ def test_documents_are_found_in_a_set_of_files(spark, docs, rows):
     assert got == {i: e.encode(text[i], add_special_tokens=False).ids + [1] for i in (3, 59, 104)}
 
 
+def test_the_listing_of_many_files_is_few_files(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(token_output, "materialize", lambda *a: made.append(materialize(*a)) or made[-1])
+    docs = table(spark, [(i, f"text {i}", None) for i in range(200)])
+    files = token_output.write_token_files(docs, WORD, end_id=1, files=40)
+    assert files.count() > 20 and len(made[0].inputFiles()) <= 8
+    starts = [(r.start, r.n_ids, r.low) for r in files.orderBy("low").collect()]
+    assert [s for s, _, _ in starts] == [sum(n for _, n, _ in starts[:k]) for k in range(len(starts))]
+    assert token_output.token_digests(files).count() == 200
+
+
 def test_a_long_document_has_its_own_frame(tmp_path):
     import pyarrow.fs
 
