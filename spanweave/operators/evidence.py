@@ -160,36 +160,51 @@ def align(planned: DataFrame, actual: DataFrame, least: float = 0.5, asserted: D
     Steps of null labels have no words and match only where asserted. Plans of null are one plan.
     """
     spark = planned.sparkSession
-    slim = lambda d, side: d.select("plan", F.lit(side).alias("side"), F.col("nth").cast("long").alias("nth"), F.col("label"), F.lit(None).cast("long").alias("own"), tokens(F.coalesce("label", F.lit(""))).alias("words"))
+    slim = lambda d, side: d.select("plan", F.lit(side).alias("side"), F.col("nth").cast("long").alias("nth"), F.col("label"), F.lit(None).cast("long").alias("own"), F.array_join(tokens(F.coalesce("label", F.lit(""))), " ").alias("words"))
     steps = slim(planned, 0).unionByName(slim(actual, 1))
     if asserted is not None:
-        told = asserted.select("plan", F.lit(2).alias("side"), F.col("actual").cast("long").alias("nth"), F.lit(None).cast("string").alias("label"), F.col("planned").cast("long").alias("own"), F.array().cast("array<string>").alias("words"))
+        told = asserted.select("plan", F.lit(2).alias("side"), F.col("actual").cast("long").alias("nth"), F.lit(None).cast("string").alias("label"), F.col("planned").cast("long").alias("own"), F.lit("").alias("words"))
         steps = steps.unionByName(told)
     kind = steps.schema["plan"].dataType.simpleString()
     schema = spark.createDataFrame([], f"plan {kind}, {_ALIGNED}").schema
     names = schema.fieldNames()
 
-    def match(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("side", "nth", "label", "own", "words"))), key=lambda r: (r[0], r[1], r[2] or ""))
-        plan = table.column("plan")[0].as_py()
+    def match(plan, rows: list[tuple]) -> list[tuple]:
+        rows.sort(key=lambda r: (r[0], r[1], r[2] or ""))
         mine, theirs = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
         believed = {r[1]: r[3] for r in rows if r[0] == 2}
-        cut = lambda part: [(r[1], r[1], frozenset(r[4] or ())) for r in part]
+        cut = lambda part: [(r[1], r[1], frozenset(r[4].split())) for r in part]
+        planned, actual = cut(mine), cut(theirs)
         out, before, used = [], None, set()
-        pairs = _in_order(cut(mine), cut(theirs), believed, least)
-        for (_, nth, label, _, words), (_, k) in zip(mine, pairs):
+        for (_, nth, label, _, _), (_, _, words), (_, k) in zip(mine, planned, _in_order(planned, actual, believed, least)):
             if k is None:
                 out.append((plan, nth, None, label, None, "missing", False))
                 continue
             used.add(k)
             at, other = theirs[k][1], theirs[k][2]
-            same = frozenset(words or ()) == frozenset(theirs[k][4] or ()) and words or believed.get(at) == nth
+            same = words == actual[k][2] and words or believed.get(at) == nth
             out.append((plan, nth, at, label, other, "same" if same else "renamed", before is not None and before > at))
             before = at
-        out += [(plan, None, r[1], None, r[2], "extra", False) for k, r in enumerate(theirs) if k not in used]
-        return pa.Table.from_pydict(dict(zip(names, map(list, zip(*out)))) if out else {n: [] for n in names}, schema=to_arrow_schema(schema))
-
-    return steps.groupBy("plan").applyInArrow(match, schema)
+        return out + [(plan, None, r[1], None, r[2], "extra", False) for k, r in enumerate(theirs) if k not in used]
+
+    def every(batches):
+        table = lambda out: pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))), schema=to_arrow_schema(schema))
+        plan, rows = None, []
+        for batch in batches:
+            out = []
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("plan", "side", "nth", "label", "own", "words"))):
+                if rows and p != plan and (p == p or plan == plan):  # NaN is one plan
+                    out += match(plan, rows)
+                    rows = []
+                plan = p
+                rows.append(row)
+            if out:
+                yield table(out)
+        if rows and (out := match(plan, rows)):
+            yield table(out)
+
+    # plans in sequence within a task: a call for each would cost more than its steps
+    return steps.repartition("plan").sortWithinPartitions("plan").mapInArrow(every, schema)
 
 
 def federation_check(spans: DataFrame, sources: DataFrame, segments: DataFrame, versions: list[str]) -> DataFrame:

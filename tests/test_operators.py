@@ -248,6 +248,21 @@ def test_align_takes_planned_steps_in_turn(spark):
     assert {(r.planned, r.verdict) for r in first} == {("a b c", "renamed"), ("a b c d", "missing")}
 
 
+def test_align_takes_many_plans_a_call(spark):
+    """Plans, a null one and one that is not a number among them, go through a task in sequence, also over batches."""
+    plans = [float(p) for p in range(60)] + [None, float("nan")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        side = lambda k: spark.createDataFrame([(p, n, f"step {n} of it") for p in plans for n in range(1 + k, 5 + k)], "plan double, nth int, label string")
+        made = evidence.align(side(0), side(1), 0.9)
+        got = sorted((str(r.plan), str(r.planned_nth), str(r.actual_nth), r.verdict, r.reordered) for r in made.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [("1", "None", "missing", False), ("None", "5", "extra", False), *((str(n), str(n), "same", False) for n in (2, 3, 4))]
+    assert got == sorted((str(p), *w) for p in plans for w in want)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+
+
 def test_reconcile_and_compare_give_verdicts(spark):
     shape = "about string, id string, conditions map<string,string>, source_id string, quote string"
     mine = spark.createDataFrame([("c", "p", {"t": "1"}, "s1", "q1")], shape)
