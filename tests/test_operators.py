@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,41 @@ def test_two_cliques_part_at_the_bridge():
     assert len({got[n] for n in "abc"}) == len({got[n] for n in "def"}) == 1 and got["a"] != got["d"]
 
 
+def merged_by_all_gains(pairs):
+    """Brute force: every gain again before each merge."""
+    m, member, share = len(pairs), {n: {n} for p in pairs for n in p}, {}
+    ends = {n: sum((a == n) + (b == n) for a, b in pairs) for n in member}
+    for p in pairs:
+        if p[0] != p[1]:
+            share[tuple(sorted(p))] = share.get(tuple(sorted(p)), 0) + 1
+    while share:
+        gain, a, b = min((ends[a] * ends[b] / (2 * m * m) - s / m, a, b) for (a, b), s in share.items())
+        if gain >= 0:
+            break
+        member[a] |= member.pop(b)
+        ends[a] += ends.pop(b)
+        moved = {}
+        for (x, y), s in share.items():
+            k = tuple(sorted((a if x == b else x, a if y == b else y)))
+            if k[0] != k[1]:
+                moved[k] = moved.get(k, 0) + s
+        share = moved
+    return {frozenset(g) for g in member.values()}
+
+
+def test_communities_merge_as_by_all_gains_and_end_on_hubs():
+    rng = random.Random(3)
+    for t in range(200):
+        names = [f"{rng.randrange(1000):03}" for _ in range(rng.randint(2, 20))]
+        pairs = [(rng.choice(names[: 3 if t % 2 else None]), rng.choice(names)) for _ in range(rng.randint(1, 50))]
+        got = graph.partition(pairs)
+        assert {frozenset(n for n in got if got[n] == c) for c in got.values()} == merged_by_all_gains(pairs)
+    star = [(f"{rng.getrandbits(64):016x}", f"hub{rng.randrange(25)}") for _ in range(20_000)]
+    began = time.process_time()
+    assert len(set(graph.partition(star).values())) == 25
+    assert time.process_time() - began < 60  # all gains before each merge took hours
+
+
 def test_growth_takes_what_pays(spark):
     pairs = [("a", "b"), ("b", "c"), ("a", "x"), ("x", "y")]
     assert graph.grow({"a": 1.0, "b": 0.9, "c": 0.1}, pairs, 0.25) == (["a", "b"], 1.9, 0.25)
