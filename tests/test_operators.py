@@ -105,6 +105,59 @@ def test_two_cliques_part_at_the_bridge():
     assert len({got[n] for n in "abc"}) == len({got[n] for n in "def"}) == 1 and got["a"] != got["d"]
 
 
+def test_topic_terms_shuffle_texts_not_words(spark):
+    docs = spark.createDataFrame([(1, "a b b"), (1, "b c"), (2, "c c a"), (3, None)], "id long, text string")
+    groups = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y")], "node long, topic string")
+    made = rank.topic_terms(rank.postings(docs), groups, 2)
+    assert sorted((r.topic, r.term, r.n, r["rank"]) for r in made.collect()) == [("x", "b", 3, 1), ("x", "c", 3, 2), ("y", "a", 1, 2), ("y", "c", 2, 1)]
+    assert "hashpartitioning(term" not in rank.postings(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def leafy(rng):
+    """Links with hubs and leaves, pairs by themselves, self links and repeated ones."""
+    rows = [(f"h{rng.randrange(6)}", "r", f"h{rng.randrange(6)}") for _ in range(6)] + [(f"x{k}", "q", f"h{rng.randrange(9)}") for k in range(30)]
+    return rows + [("p", "r", "o"), ("s", "r", "t"), ("s", "q", "t"), ("z", "r", "z"), ("y", "r", "y"), ("y", "r", "a0")] + rows[:3]
+
+
+def test_leaves_diffuse_as_by_plain_rounds(spark):
+    rng = random.Random(8)
+    for seeds, rounds, weights in (({"x1": 1.0}, 12, {}), ({"h0": 2.0, "x2": 1.0, "p": 1.0}, 7, {"q": 3.0}), ({"x3": 1.0, "s": 1.0}, 0, {}), ({"h1": 1.0, "o": 1.0}, 6, {"q": 0.0})):
+        rows = leafy(rng)
+        pull = {}
+        for a, p, b in rows:
+            for e in ((a, b), (b, a)):
+                pull[e] = pull.get(e, 0.0) + weights.get(p, 1.0)
+        out = {}
+        for (x, _), w in pull.items():
+            out[x] = out.get(x, 0.0) + w
+        home = {n: seeds.get(n, 0.0) for n in out}
+        home = {n: s / sum(home.values()) for n, s in home.items()}
+        rank = home
+        for _ in range(rounds):
+            lost = sum(s for n, s in rank.items() if not out[n])
+            got = {n: (0.15 + 0.85 * lost) * h for n, h in home.items()}
+            for (x, y), w in pull.items():
+                got[y] += 0.85 * rank[x] * w / out[x] if w else 0.0
+            rank = got
+        given = spark.createDataFrame(list(seeds.items()), "node string, score double")
+        made = graph.diffuse(links(spark, rows), given, weights, rounds=rounds, top=None).collect()
+        assert {r.node: pytest.approx(r.score, abs=2e-6) for r in made} == rank and len(made) == len(rank)
+
+
+def test_rounds_leave_leaves_out(spark, monkeypatch):
+    from spanweave.operators import components
+
+    rows, seen, whole = leafy(random.Random(9)), [], components._contract
+    monkeypatch.setattr(components, "_contract", lambda ends, rows=None: seen.append(ends.count()) or whole(ends, rows))
+    got = {r.node: r.component for r in graph.components(links(spark, rows)).collect()}
+    group = {n: {n} for a, _, b in rows for n in (a, b)}
+    for a, _, b in rows:
+        both = group[a] | group[b]
+        group.update({n: both for n in both})
+    assert got == {n: min(g) for n, g in group.items()}
+    assert seen[0] <= 12  # links among hubs and self links, of 45
+
+
 def merged_by_all_gains(pairs):
     """Brute force: every gain again before each merge."""
     m, member, share = len(pairs), {n: {n} for p in pairs for n in p}, {}
