@@ -24,19 +24,29 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
     """(node, component) for every node of an edge, the component named by its smallest node.
 
     Self links and repeated links are fine; links with a null end are ignored. Nodes that are not
-    numbers are numbered once, so that rounds move 8 bytes a node. Rounds go on until nothing changes;
-    their number grows with the logarithm of the longest way. ``rows``: about how many edges, if known.
+    numbers are numbered once, so that rounds move 8 bytes a node; those of one neighbour only follow it
+    and take no part in the rounds. Rounds go on until nothing changes; their number grows with the logarithm of the longest way. ``rows``: about how many edges, if known.
     """
     a, b = F.col(left), F.col(right)
     ends = edges.where(a.isNotNull() & b.isNotNull()).select(a.alias("a"), b.alias("b"))
     if ends.schema["a"].dataType.simpleString() in ("bigint", "int"):
         return _contract(ends, rows)
     ends = materialize(ends.distinct(), "ends")
-    nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
-    numbered = materialize(nodes.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    both = ends.select(F.col("a").alias("node"), F.col("b").alias("to")).union(ends.select("b", "a"))
+    nodes = materialize(both.groupBy("node").agg(F.min("to").alias("to"), F.max("to").alias("last")), "nodes")
+    one = (F.col("to") == F.col("last")) & (F.col("to") != F.col("node"))
+    tips = nodes.where(one).select("node", "to")
+    after = tips.where("node > to")
+    mutual = after.select(F.col("to").alias("node"), F.col("node").alias("to"))  # the smaller of such a pair is no leaf
+    leaves = materialize(after.union(tips.where("node < to").join(mutual, ["node", "to"], "left_anti")), "leaves")
+    inner = nodes.where(~one).select("node").union(leaves.select("to")).distinct()
+    numbered = materialize(inner.withColumn("number", F.monotonically_increasing_id()), "numbered")
     of = lambda c, n: numbered.select(F.col("node").alias(c), F.col("number").alias(n))
     found = _contract(ends.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = materialize(numbered.join(found.withColumnRenamed("node", "number"), "number").select("node", "component"), "named")
+    known = numbered.join(found.withColumnRenamed("node", "number"), "number", "left").select("node", F.coalesce("component", "number").alias("component"))
+    known = materialize(known, "inner")
+    hung = leaves.join(known.withColumnRenamed("node", "to"), "to").select("node", "component")
+    named = materialize(known.union(hung), "named")
     least = named.groupBy("component").agg(F.min("node").alias("least"))
     return named.join(least, "component").select("node", F.col("least").alias("component"))
 
