@@ -9,8 +9,9 @@ from spanweave.functions.text import tokens
 
 
 def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """term, node, tf."""
-    return docs.select(F.col(key).alias("node"), F.explode(tokens(F.col(text))).alias("term")).groupBy("term", "node").agg(F.count("*").alias("tf"))
+    """term, node, tf. Texts are shuffled by their node, not their words; the index stays dealt by node."""
+    dealt = docs.select(F.col(key).alias("node"), F.col(text).alias("__sw_text")).repartition("node")
+    return dealt.select("node", F.explode(tokens(F.col("__sw_text"))).alias("term")).groupBy("term", "node").agg(F.count("*").alias("tf"))
 
 
 def lengths(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -36,7 +37,7 @@ def score_texts(docs: DataFrame, terms: list[str], limit: int | None = 8, key: s
 
 def topic_terms(index: DataFrame, groups: DataFrame, k: int = 8) -> DataFrame:
     """Most frequent terms of each group (node, topic), ties by term."""
-    counted = index.join(groups, "node").groupBy("topic", "term").agg(F.sum("tf").alias("n"))
+    counted = index.join(groups.hint("shuffle_hash"), "node").groupBy("topic", "term").agg(F.sum("tf").alias("n"))
     w = Window.partitionBy("topic").orderBy(F.desc("n"), "term")
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
