@@ -45,7 +45,8 @@ def expand(links: DataFrame, roots: DataFrame, depth: int = 2, limit: int = 200,
         plain = plain.unionByName(derived.select("id", "predicate", "src", "dst").withColumn("derived", F.lit(True)))
     if follow:
         plain = plain.where(F.col("predicate").isin(*follow))
-    found, partial = reach(adjacency(plain), roots, depth, limit)
+    plain = materialize(plain, "package-links")  # written once, as links; their two readings are twice as large
+    found, partial = reach(adjacency(plain), roots, depth, limit, written=True)
     walk = F.slice("links", 2, F.greatest(F.size("links") - 1, F.lit(0)))
     held = materialize(found.select("node", "depth", walk.alias("walk")), "held")
     is_one = lambda names: F.col("predicate").isin(*names) if names else F.lit(False)

@@ -134,7 +134,7 @@ def _rules(delta: DataFrame, facts: DataFrame, onto: Ontology, only: tuple[str,
     if only is not None:
         return out
     for ps, p, rule in [*[((p, p), p, "prp-trp") for p in sorted(onto.transitive)], *[(ps, p, "prp-spo2") for ps, p in sorted(onto.chains, key=str)]]:
-        for new in range(len(ps)):  # the place that delta takes
+        for new in range(1 if delta is facts else len(ps)):  # the place that delta takes; all are one where it is everything
             step = lambda k: _edges(delta if k == new else facts, ps[k], f"n{k}", f"n{k + 1}", f"i{k}")  # noqa: E731, B023
             joined = reduce(lambda a, k: a.join(step(k), f"n{k}"), range(1, len(ps)), step(0))  # noqa: B023
             name, back = _role(p)

@@ -113,6 +113,18 @@ def test_topic_terms_shuffle_texts_not_words(spark):
     assert "hashpartitioning(term" not in rank.postings(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_packages_write_links_once_and_chains_join_once(spark, monkeypatch):
+    told = spark.createDataFrame([("a", "p", "b"), ("b", "q", "c")], "s string, p string, o string")
+    facts = reason.with_ids(told)
+    onto = Ontology(chains=frozenset({(("p", "q"), "r")}))
+    assert len(reason._rules(facts, facts, onto, None, False)) == 1
+    labels, write = [], graph.materialize
+    for m in (graph, bundle):
+        monkeypatch.setattr(m, "materialize", lambda df, label="cut", rows=None: labels.append(label) or write(df, label, rows))
+    made = bundle.expand(links(spark, SMALL), nodes_of(spark, ["A"]), depth=1)
+    assert {r.id for r in made.links.collect()} == {"A-r-B"} and "adjacency" not in labels
+
+
 def leafy(rng):
     """Links with hubs and leaves, pairs by themselves, self links and repeated ones."""
     rows = [(f"h{rng.randrange(6)}", "r", f"h{rng.randrange(6)}") for _ in range(6)] + [(f"x{k}", "q", f"h{rng.randrange(9)}") for k in range(30)]
